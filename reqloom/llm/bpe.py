@@ -42,7 +42,6 @@ class Codec:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        from tokenizers.models import BPE
 
         self.whole = Tokenizer.from_file(path)
         self.whole.no_padding()
@@ -56,10 +55,8 @@ class Codec:
         made = {"".join(x) for x in merges}
         #: The proof of the joins needs one merge for each token.
         self.joinable = len(made) == len(merges) and not model.get("continuing_subword_prefix") and not model.get("dropout")
-        self.inner = BPE(model["vocab"], merges)
-        self.last = BPE(model["vocab"], merges, end_of_word_suffix=self.suffix) if self.suffix else self.inner
-        size = max(max(model["vocab"].values()), *[x["id"] for x in spec.get("added_tokens", [])] or [0]) + 1
-        self.token = [self.whole.id_to_token(i) for i in range(size)]
+        self.path, self.models = path, None
+        self.token = tokens(path)[0]
         self.words: dict[str, bytes] = {"": b""}
 
     def ids(self, text: str) -> list[int]:
@@ -67,7 +64,9 @@ class Codec:
 
     def part(self, symbols: str, last: bool) -> list[int]:
         """The encoding of a part of a pre-token; only the last part has the word's end."""
-        return [t.id for t in (self.last if last else self.inner).tokenize(symbols)]
+        if self.models is None:  # two further copies of the vocabulary, for long stretches only
+            self.models = _part_models(self.path)
+        return [t.id for t in self.models[last].tokenize(symbols)]
 
     def pretokens(self, stretch: str) -> list[tuple[str, list[int] | None]]:
         """(symbols, None) for pre-tokens, ("", ids) for added tokens, in order."""
@@ -99,11 +98,35 @@ class Codec:
                 known[w] = np.array(e.ids, np.int32).tobytes()
         return b"".join(map(known.__getitem__, words))
 
-    def decode(self, ids: list[int]) -> str:
-        """As the library's decode(ids, skip_special_tokens=False)."""
-        if self.whole.decoder is None:
-            return " ".join(map(self.token.__getitem__, ids))
-        return self.whole.decode(ids, skip_special_tokens=False)
+
+@lru_cache(maxsize=2)
+def tokens(path: str) -> tuple[list[str], bool]:
+    """(tokens by id, whether the file has a decoder)."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    by_id = {i: t for t, i in spec["model"]["vocab"].items()} | {x["id"]: x["content"] for x in spec.get("added_tokens", [])}
+    return [by_id.get(i, "") for i in range(max(by_id) + 1)], spec.get("decoder") is not None
+
+
+def _part_models(path: str) -> tuple:
+    """(model of inner parts, model of a word's last part)."""
+    from tokenizers.models import BPE
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    merges = [tuple(x.split(" ", 1)) if isinstance(x, str) else tuple(x) for x in model["merges"]]
+    suffix = model.get("end_of_word_suffix") or ""
+    inner = BPE(model["vocab"], merges)
+    return inner, BPE(model["vocab"], merges, end_of_word_suffix=suffix) if suffix else inner
+
+
+def decoder(path: str) -> Callable[[list[int]], str]:
+    """The library's decode(ids, skip_special_tokens=False)."""
+    table, has_decoder = tokens(path)
+    if has_decoder:
+        whole = codec(path).whole
+        return lambda ids: whole.decode(ids, skip_special_tokens=False)
+    return lambda ids: " ".join(map(table.__getitem__, ids))
 
 
 @lru_cache(maxsize=4)
@@ -285,11 +308,11 @@ def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", vocabulary: s
     at = df.columns.index(ids)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        decoded = decoder(path)
         for b in batches:
             lists = b.column(at)
             flat, starts = lists.values.to_numpy(zero_copy_only=False).tolist(), lists.offsets.to_pylist()
-            texts = [c.decode(flat[x:y]) if ok else "" for x, y, ok in zip(starts, starts[1:], lists.is_valid().to_pylist(), strict=False)]
+            texts = [decoded(flat[x:y]) if ok else "" for x, y, ok in zip(starts, starts[1:], lists.is_valid().to_pylist(), strict=False)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], schema.names)
 
     return df.mapInArrow(go, schema)

@@ -103,7 +103,8 @@ def links(fps: DataFrame, distance: int = DISTANCE, group: int = GROUP) -> DataF
         for w in range(n):
             tag = (a + w) << 34
             variants.append(part.bitwiseAND(F.lit(((1 << n) - 1) ^ (1 << w)).cast("long")).bitwiseOR(F.lit(tag).cast("long")))
-    keyed = fps.select("fp", F.explode(F.array(*variants)).alias("key"))
+    # a small table turns into one of 64 times its rows
+    keyed = fps.repartition(partitions(spark)).select("fp", F.explode(F.array(*variants)).alias("key"))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, held_fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)

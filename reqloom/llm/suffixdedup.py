@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize, mix64, partitions, prepare, text_or_empty
 
-LENGTH, GRAM, SHALLOW = 50, 20, 16
+LENGTH, GRAM, SHALLOW = 50, 24, 16
 WINDOW = LENGTH - GRAM + 1
 #: Bytes of text in a task's bucket, in a batch that settles its own repeats, and hashed at once.
-BUCKET_BYTES, BATCH_BYTES, CHUNK_BYTES = 24 << 20, 24 << 20, 1 << 20
+BUCKET_BYTES, BATCH_BYTES, CHUNK_BYTES = 8 << 20, 12 << 20, 1 << 17
 LAST = (1 << 63) - 1
 #: h: hash; d, f: a row's id and text check, which tell rows apart; p: position; a, z: from the first and
 #: last start to the anchor; e: end of a range.
@@ -102,18 +102,19 @@ def anchors(buf: np.ndarray, ends: np.ndarray, owner: np.ndarray) -> tuple[np.nd
     none = np.zeros(0, np.int64)
     if len(h) < WINDOW:
         return none.astype(np.uint64), none, none, none, none
-    value, at, n = h, np.arange(len(h), dtype=np.int32), 1
+    # the high half of the hash, then the position: the least one is the leftmost of the least
+    key, n = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64), 1
     while n < WINDOW:
         step = min(n, WINDOW - n)
-        left = value[:-step] <= value[step:]
-        value, at = np.where(left, value[:-step], value[step:]), np.where(left, at[:-step], at[step:])
+        key = np.minimum(key[:-step], key[step:])
         n += step
-    text = np.searchsorted(ends, np.arange(len(at)), side="right")
-    ok = np.arange(len(at)) + LENGTH <= ends[np.minimum(text, len(ends) - 1)]
-    start = np.flatnonzero(ok)
+    at = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    size = np.diff(ends, prepend=0)
+    text = np.repeat(np.arange(len(ends)), size)[: len(at)]
+    start = np.flatnonzero(np.arange(LENGTH, len(at) + LENGTH) <= ends[text])
     if not len(start):
         return none.astype(np.uint64), none, none, none, none
-    p = at[start].astype(np.int64)
+    p = at[start]
     new = np.flatnonzero(np.r_[True, (p[1:] != p[:-1])])
     stop = np.r_[new[1:], len(p)] - 1
     return h[p[new]], owner[text[start[new]]], p[new], start[new], start[stop]
@@ -141,7 +142,7 @@ def deep_shallow_sort(buf: np.ndarray, starts: np.ndarray, length: int = LENGTH,
         if not len(live):
             return order, group
         key = _words(padded, starts[order[live]], at, length)
-        by = np.lexsort((key, group[live]))
+        by = np.lexsort((key, group[live])) if at else np.argsort(key)
         order[live] = order[live][by]
         group = _split(group, live, key[by])
     depth = shallow
@@ -199,9 +200,23 @@ def _deal(n: int, values: np.ndarray) -> np.ndarray:
     return (mix64(values.astype(np.uint64) + np.uint64(0x51ED270B)) % np.uint64(n)).astype(np.int64)
 
 
+def deal_ids(n: int, ids: np.ndarray) -> np.ndarray:
+    """pmod(xxhash64(id), n), as the engine computes it for a long."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, r: (x << np.uint64(r)) | (x >> np.uint64(64 - r))
+    with np.errstate(over="ignore"):
+        h = np.uint64(42) + p5 + np.uint64(8)
+        h = h ^ (turn(ids.view(np.uint64) * p2, 31) * p1)
+        h = turn(h, 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        h = h ^ (h >> np.uint64(32))
+    return h.view(np.int64) % n
+
+
 def _by(bucket: np.ndarray, names: str, columns: dict[str, np.ndarray]) -> Iterator[tuple[int, bytes]]:
     """(bucket, packed rows) for each bucket; rows keep their order."""
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(bucket.astype(np.int16) if len(bucket) and bucket.max() < 1 << 15 else bucket, kind="stable")
     edge = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]]) if len(order) else []
     for i, j in zip(edge, np.r_[edge[1:], len(order)] if len(order) else [], strict=True):
         at = order[i:j]
@@ -217,6 +232,14 @@ def _table(rows: list[tuple[int, int, bytes]]):
     return [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names
 
 
+def _several(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(order by hash, first place and size of each run of a hash, whether several documents have it)."""
+    order = np.argsort(h)
+    hs, ds = h[order], d[order]
+    head = np.flatnonzero(np.r_[True, hs[1:] != hs[:-1]])
+    return order, head, np.diff(np.r_[head, len(hs)]), np.minimum.reduceat(ds, head) != np.maximum.reduceat(ds, head)
+
+
 def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
     """docs (d long, t string) -> rows (bucket of documents, 0, packed d f p a z) of the shared anchors."""
 
@@ -226,17 +249,13 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
 
         def settle() -> pa.RecordBatch:
             h, d, f, p, a, z = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((d, h))
-            hs, ds = h[order], d[order]
-            head = np.flatnonzero(np.r_[True, hs[1:] != hs[:-1]])
-            count = np.diff(np.r_[head, len(hs)])
-            several = ds[head] != ds[head + count - 1]
+            order, head, count, several = _several(h, d)
             mine = np.zeros(len(h), bool)
             mine[order] = np.repeat(several, count)
             cols = {"h": h, "d": d, "f": f, "p": p, "a": a, "z": z}
             rows = [(b, 0, x) for b, x in _by(_deal(buckets, h[~mine]), "hdfpaz", {k: v[~mine] for k, v in cols.items()})]
-            rows += [(b, 1, x) for b, x in _by(_deal(buckets, d[mine].view(np.uint64)), "dfpaz", {k: v[mine] for k, v in cols.items()})]
-            known = hs[head[several]]
+            rows += [(b, 1, x) for b, x in _by(deal_ids(buckets, d[mine]), "dfpaz", {k: v[mine] for k, v in cols.items()})]
+            known = h[order[head[several]]]
             rows += [(b, 2, x) for b, x in _by(_deal(buckets, known), "h", {"h": known})]
             held.clear()
             return pa.RecordBatch.from_arrays(*_table(rows))
@@ -269,14 +288,11 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
         rows = [(b, 0, x) for b, k, x in zip(table["to"].to_pylist(), kind, blobs, strict=True) if k == 1]
         c = unpack([x for k, x in zip(kind, blobs, strict=True) if k == 0], "hdfpaz")
         known = np.unique(unpack([x for k, x in zip(kind, blobs, strict=True) if k == 2], "h")["h"])
-        order = np.lexsort((c["d"], c["h"]))
-        hs, ds = c["h"][order], c["d"][order]
-        if len(hs):
-            head = np.flatnonzero(np.r_[True, hs[1:] != hs[:-1]])
-            count = np.diff(np.r_[head, len(hs)])
-            several = (ds[head] != ds[head + count - 1]) | np.isin(hs[head], known)
+        if len(c["h"]):
+            order, head, count, several = _several(c["h"], c["d"])
+            several |= np.isin(c["h"][order[head]], known)
             at = np.sort(order[np.repeat(several, count)])
-            rows += [(b, 0, x) for b, x in _by(_deal(buckets, c["d"][at].view(np.uint64)), "dfpaz", {k: v[at] for k, v in c.items()})]
+            rows += [(b, 0, x) for b, x in _by(deal_ids(buckets, c["d"][at]), "dfpaz", {k: v[at] for k, v in c.items()})]
         return pa.Table.from_arrays(*_table(rows))
 
     parts = docs.mapInArrow(collect, ROWS).withColumn("to", F.col("bucket"))
@@ -286,16 +302,6 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
 CONTEXTS = "bucket int, kind int, blob binary, contexts array<binary>, counts binary"
 
 
-def _deal_docs(docs: DataFrame, buckets: int) -> DataFrame:
-    """docs with the bucket that `_deal` gives an id, in JVM arithmetic of the same result."""
-
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_deal(buckets, b.column(0).to_numpy().view(np.uint64)).astype(np.int32)), *b.columns], ["bucket", "d", "t"])
-
-    return docs.mapInArrow(go, "bucket int, d long, t string")
-
-
 def contexts(docs: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
     """Kind 0: (bucket of anchors, ids and positions d p a z, the contexts' bytes, how many positions
     each has); kind 1: (bucket of documents, ranges d f p e) that are settled."""
@@ -342,7 +348,7 @@ def contexts(docs: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
                 rows.append((int(to[order[i]]), 0, blob, [keys[k] for k in order[i:j]], n.tobytes()))
         if settled:
             d, f, s, e = (np.array(x, np.int64) for x in zip(*settled, strict=True))
-            rows += [(b, 1, x, [], b"") for b, x in _by(_deal(buckets, d.view(np.uint64)), "dfpe", {"d": d, "f": f, "p": s, "e": e})]
+            rows += [(b, 1, x, [], b"") for b, x in _by(deal_ids(buckets, d), "dfpe", {"d": d, "f": f, "p": s, "e": e})]
         cols = list(zip(*rows, strict=True)) or [[]] * 5
         kinds = [pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.binary()), pa.binary()]
         return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], ["bucket", "kind", "blob", "contexts", "counts"])
@@ -419,7 +425,7 @@ def repeats(parts: DataFrame, buckets: int) -> DataFrame:
             add(keep[at], np.repeat(lo, k), np.repeat(hi, k))
         d, f, s, e = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (out_d, out_f, out_s, out_e))
         by = np.lexsort((s, f, d))
-        rows = [(b, 1, x) for b, x in _by(_deal(buckets, d[by].view(np.uint64)), "dfpe", {"d": d[by], "f": f[by], "p": s[by], "e": e[by]})]
+        rows = [(b, 1, x) for b, x in _by(deal_ids(buckets, d[by]), "dfpe", {"d": d[by], "f": f[by], "p": s[by], "e": e[by]})]
         return pa.Table.from_arrays(*_table(rows))
 
     return parts.where("kind = 0").groupBy("bucket").applyInArrow(go, ROWS)
@@ -480,7 +486,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", bucke
     held = df.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("d"), text_or_empty(text).alias("t"))
     size = held.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     buckets = partitions(spark, -(-size // bucket_bytes))
-    dealt = _deal_docs(held, buckets)
+    dealt = held.select(F.pmod(F.xxhash64("d"), F.lit(buckets)).cast("int").alias("bucket"), "d", "t")
     shared = materialize(shared_anchors(held, buckets), "anchors")
     parts = materialize(contexts(dealt, shared, buckets), "contexts")
     sorted_ = materialize(repeats(parts, buckets), "ranges")

@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 from .common import prepare
 
 SAMPLE_ROWS, TERMS, GRADES, SEED = 20_000, 512, 3, 11
+#: Words or features that a worker keeps at a time.
+HELD = 100_000
 EDGES = ".,;:!?\"'()[]{}«»“”„…-_*"
 #: Lengths of the word beginnings that count as features beside the word.
 PREFIXES = range(3, 9)
@@ -98,14 +100,22 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, te
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = {0: Counter(), 1: Counter()}, Counter()
+
+        def counted() -> pa.RecordBatch:
+            # the empty feature carries the number of texts
+            rows = [("", n[1], n[0])] + [(f, seen[1][f], seen[0][f]) for f in seen[1]] + [(f, 0, c) for f, c in seen[0].items() if f not in seen[1]]
+            for x in (seen[0], seen[1], n):
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["f", "t", "c"])
+
         for b in batches:
             for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 k = int(toxic > 0)
                 seen[k].update(text_features(text))
                 n[k] += 1
-        # the empty feature carries the number of texts
-        rows = [("", n[1], n[0])] + [(f, seen[1][f], seen[0][f]) for f in seen[1]] + [(f, 0, c) for f, c in seen[0].items() if f not in seen[1]]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["f", "t", "c"])
+                if len(seen[0]) + len(seen[1]) > HELD:  # bounded: the counts go on in parts
+                    yield counted()
+        yield counted()
 
     stats = sample.mapInArrow(count, "f string, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where("t > 0")
     total = stats.where("f = ''").first()
@@ -154,7 +164,7 @@ def predict(df: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, known = model.weights, {}
         for b in batches:
-            if len(known) > 500_000:
+            if len(known) > HELD:
                 known.clear()
             severity, grade, toxic = [], [], []
             for t in b.column(at).to_pylist():

@@ -26,23 +26,26 @@ _MODAL = r"(?i)\b(?:" + "|".join(MODALITIES) + r")\b"
 
 def structure(t: Column) -> Column:
     """Struct of subject, modality, condition, action and object."""
-    modal = F.get(X.matches(t, _MODAL), F.lit(0))
-    cond = X.condition(t)
-    begin = F.when(cond["present"] & (cond["start"] == 0), F.least(cond["end"] + 2, F.length(t))).otherwise(F.lit(0))
-    after = F.get(X.matches(t, _MODAL + r"(?:\s+not)?\s+\w+"), F.lit(0))
-    start, end = F.coalesce(modal["start"], F.lit(0)), F.coalesce(after["end"], modal["end"], F.lit(0))
     none = X.make_span(t, F.lit(0), F.lit(0))
-    left = F.greatest(begin, F.lit(0))
-    subject = F.when(start > left, X.make_span(t, left, start - 1)).otherwise(none)
-    action = F.when(modal.isNotNull(), X.make_span(t, start, end)).otherwise(none)
-    return F.struct(subject.alias("subject"), X.modality(t).alias("modality"), cond.alias("condition"), action.alias("action"), F.when(end < F.length(t), X.make_span(t, end + 1, F.length(t))).otherwise(none).alias("object"))
+
+    def parts(p):
+        modal, after, cond = p["modal"], p["after"], p["cond"]
+        left = F.when(cond["present"] & (cond["start"] == 0), F.least(cond["end"] + 2, F.length(t))).otherwise(F.lit(0))
+        start, end = F.coalesce(modal["start"], F.lit(0)), F.coalesce(after["end"], modal["end"], F.lit(0))
+        subject = F.when(start > left, X.make_span(t, left, start - 1)).otherwise(none)
+        action = F.when(modal.isNotNull(), X.make_span(t, start, end)).otherwise(none)
+        rest = F.when(end < F.length(t), X.make_span(t, end + 1, F.length(t))).otherwise(none)
+        return F.struct(subject.alias("subject"), X.modality(t).alias("modality"), cond.alias("condition"), action.alias("action"), rest.alias("object"))
+
+    first = lambda pattern: F.get(X.matches(t, pattern), F.lit(0))
+    return X.let(F.struct(first(_MODAL).alias("modal"), first(_MODAL + r"(?:\s+not)?\s+\w+").alias("after"), X.condition(t).alias("cond")), parts)
 
 
 def attribute(t: Column, start: Column) -> Column:
     """The nearest word group before the evidence that starts without a digit."""
     before = X.clean_text(F.substr(t, F.lit(1), start))
     word = F.regexp_extract(before, r"((?:\b(?:a|an|the)\s+)?\b[a-z]+)\s+(?:shall|must|should|may|will|is)\b", 1)
-    return F.when(word == "", "quantitative attribute").otherwise(word)
+    return X.let(word, lambda w: F.when(w == "", "quantitative attribute").otherwise(w))
 
 
 def _constraint(i: Column, op: Column, start: Column, end: Column, t: Column, snippet: Column, value: Column, ref: Column) -> Column:
@@ -66,20 +69,23 @@ def constraints(t: Column, ref: Column) -> Column:
 
     def comparison(m):
         snippet = X.sanitize_quantity(m["text"])
-        found = X.quantities(snippet)
-        return F.struct(m["operator"].alias("operator"), m["start"].alias("start"), m["end"].alias("end"), snippet.alias("snippet"), found.alias("found"))
+        return X.let(snippet, lambda s: F.struct(m["operator"].alias("operator"), m["start"].alias("start"), m["end"].alias("end"), s.alias("snippet"), X.quantities(s).alias("found")))
 
     compared = F.filter(F.transform(X.constraint_matches(t), comparison), lambda c: F.size(c["found"]) > 0)
 
     def bare(m):
-        snippet = X.sanitize_quantity(m["text"])
-        found = X.quantities(snippet)
-        noisy = X.is_noise(t, m["start"], m["end"], m["text"], F.get(found, F.lit(0))["unit"], False)
-        return F.struct(F.when(~noisy, "eq").alias("operator"), m["start"].alias("start"), m["end"].alias("end"), snippet.alias("snippet"), found.alias("found"))
+        def judged(p):
+            noisy = X.is_noise(t, m["start"], m["end"], m["text"], F.get(p["found"], F.lit(0))["unit"], False)
+            return F.struct(F.when(~noisy, "eq").alias("operator"), m["start"].alias("start"), m["end"].alias("end"), p["snippet"].alias("snippet"), p["found"].alias("found"))
+
+        return X.let(X.let(X.sanitize_quantity(m["text"]), lambda s: F.struct(s.alias("snippet"), X.quantities(s).alias("found"))), judged)
+
+    def joined(compared):
+        rest = F.filter(F.transform(X.matches(t, X.NUMBER + r"\s*" + X.UNIT_WORD), bare), lambda b: b["operator"].isNotNull() & (F.size(b["found"]) > 0))
+        rest = F.filter(rest, lambda b: ~F.exists(compared, lambda c: X.overlaps(c, b)))
+        return F.transform(F.concat(compared, rest), lambda c, i: _constraint(i, c["operator"], c["start"], c["end"], t, c["snippet"], _value(c["operator"], c["found"], c["snippet"]), ref))
 
-    rest = F.filter(F.transform(X.matches(t, X.NUMBER + r"\s*" + X.UNIT_WORD), bare), lambda b: b["operator"].isNotNull() & (F.size(b["found"]) > 0))
-    rest = F.filter(rest, lambda b: ~F.exists(compared, lambda c: X.overlaps(c, b)))
-    return F.transform(F.concat(compared, rest), lambda c, i: _constraint(i, c["operator"], c["start"], c["end"], t, c["snippet"], _value(c["operator"], c["found"], c["snippet"]), ref))
+    return X.let(compared, joined)
 
 
 def extract(df: DataFrame, text: str = "original_text", idx: str = "idx", rank: int = 0) -> DataFrame:
