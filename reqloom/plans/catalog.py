@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from reqloom.plans import q_stage, q_text
+from reqloom.plans.fixtures import for_duckdb
+
+QUERIES: dict = {**q_text.QUERIES, **q_stage.QUERIES}
+SQL: dict[str, str] = {k: for_duckdb(v) for m in (q_text, q_stage) for k, v in m.SQL.items()}
