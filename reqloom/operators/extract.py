@@ -94,11 +94,19 @@ def extract(df: DataFrame, text: str = "original_text", idx: str = "idx", rank:
     The record has one requirement: the candidate of the given rank (clamped).
     """
     blank = F.coalesce(F.btrim(F.col(text), F.lit(" \n\t\r")), F.lit("")) == ""
-    ranked = df.withColumn("__c", F.when(~blank, X.candidates(F.col(text)))).withColumn("__t", F.get("__c", F.least(F.lit(max(rank, 0)), F.size("__c") - 1)))
-    ranked = ranked.withColumn("__s", structure(F.col("__t"))).withColumn("__k", constraints(F.col("__t"), F.col("__s.object.text")))
-    requirement = F.struct(F.lit(0).alias("req_idx"), F.col("__s").alias("structure"), F.col("__k").alias("constraints"), F.array().alias("references"), F.col("__t").alias("raw_text"), F.lit(None).alias("normalized_quantities"))
-    record = F.struct(F.col(idx).cast("bigint").alias("idx"), F.lit(None).alias("source"), F.col("__t").alias("original_text"), F.array(requirement).alias("requirements")).cast(RECORD)
-    return ranked.withColumn("status", F.when(blank, "skipped").otherwise("ok")).withColumn("reason", F.when(blank, "missing_original_text")).withColumn("record", F.when(~blank, record)).drop("__c", "__t", "__s", "__k")
+    best = X.let(X.candidates(F.col(text)), lambda c: F.get(c, F.least(F.lit(max(rank, 0)), F.size(c) - 1)))
+
+    def requirement(t):
+        def of(s):
+            return F.struct(F.lit(0).alias("req_idx"), s.alias("structure"), constraints(t, s["object"]["text"]).alias("constraints"), F.array().alias("references"), t.alias("raw_text"), F.lit(None).alias("normalized_quantities"))
+
+        return X.let(structure(t), of)
+
+    t = F.col("__t")
+    record = F.struct(F.col(idx).cast("bigint").alias("idx"), F.lit(None).alias("source"), t.alias("original_text"), F.array(requirement(t)).alias("requirements")).cast(RECORD)
+    # one-element explodes: what stands above reads the record's fields without computing it anew for each
+    out = df.withColumn("__t", F.explode(F.array(F.when(~blank, best)))).withColumn("record", F.explode(F.array(F.when(~blank, record)))).drop("__t")
+    return out.withColumn("status", F.when(blank, "skipped").otherwise("ok")).withColumn("reason", F.when(blank, "missing_original_text"))
 
 
 class RuleBasedExtractor:

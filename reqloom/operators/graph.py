@@ -295,7 +295,7 @@ def connected_part(t: DataFrame, namespace: str = V.REQ) -> DataFrame:
     at_s = plain.join(seen.withColumnRenamed("node", "s"), ["graph_id", "s"], "left_semi")
     at_o = iri.join(seen.withColumnRenamed("node", "o"), ["graph_id", "o"], "left_semi")
     bare = plain.join(seeds.select("graph_id").distinct(), "graph_id", "left_anti")
-    return at_s.union(at_o).union(bare).distinct()
+    return at_s.unionByName(at_o).unionByName(bare).select(KEY).distinct()
 
 
 def local_annotations(t: DataFrame, namespace: str = V.REQ) -> DataFrame:
@@ -375,3 +375,82 @@ def three_way(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     x, y = a.select(key).distinct().withColumn("in_a", F.lit(True)), b.select(key).distinct().withColumn("in_b", F.lit(True))
     side = F.when(F.col("in_a") & F.col("in_b"), "common").when(F.col("in_a"), "asserted_only").otherwise("inferred_only")
     return x.join(y, key, "full_outer").select(*key, side.alias("side"))
+
+
+def abox(t: DataFrame) -> DataFrame:
+    """Assertions on named individuals by kind: class, object or data; blank subjects and the ontology
+    header stay out."""
+    named = t.where(~F.col("s").startswith("_:") & ~((F.col("p") == V.TYPE) & (F.col("o") == V.OWL + "Ontology")))
+    kind = F.when(F.col("p") == V.TYPE, "class").when(F.col("o_kind") == "literal", "data").otherwise("object")
+    return named.select("graph_id", "s", "p", "o", kind.alias("assertion")).distinct()
+
+
+def canonical_nodes(t: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows (graph_id, req_idx, constraint_idx) with `node`: the first value node, by IRI, that is named
+    VE_req<i>_c<j> for them, else a minted one of that name."""
+    hit = value_nodes(t).select("graph_id", F.col("s").alias("found"), F.regexp_extract("s", r"VE_req(\d+)_c(\d+)$", 1).alias("i"), F.regexp_extract("s", r"VE_req(\d+)_c(\d+)$", 2).alias("j"))
+    hit = hit.where("i != ''").groupBy("graph_id", F.col("i").try_cast("bigint").alias("req_idx"), F.col("j").try_cast("bigint").alias("constraint_idx")).agg(F.min("found").alias("found"))
+    minted = F.concat(F.lit(V.REQ), F.col("graph_id").cast("string"), F.lit("#VE_req"), F.col("req_idx").cast("string"), F.lit("_c"), F.col("constraint_idx").cast("string"))
+    return rows.join(hit, ["graph_id", "req_idx", "constraint_idx"], "left").withColumn("node", F.coalesce("found", minted)).drop("found")
+
+
+def assign_nodes(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(graph_id, node, row): value nodes (graph_id, node) matched to rows (graph_id, row, label).
+
+    Three passes: a node whose name ends in a number that only one free row has; a node whose words meet
+    one free row's label more than any other's; what is left by place if both sides are equally many.
+    Rows are used up in node order, so a graph, which is one record, is matched in one task; graphs are
+    dealt by hash, many to a task.
+    """
+    schema = "graph_id long, node string, row long"
+
+    def match(nodes: list[str], free: dict[int, str]):
+        import re
+
+        words = lambda x: set(re.findall(r"[a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", x or "").lower()))
+        rest, last = [], []
+        for node in sorted(nodes):
+            number = re.search(r"(\d+)$", node)
+            if number and int(number[1]) in free:
+                yield node, int(number[1])
+                free.pop(int(number[1]))
+            else:
+                rest.append(node)
+        for node in rest:
+            own = words(re.split(r"[#/]", node)[-1])
+            scores = sorted(((len(own & words(label)), r) for r, label in free.items()), reverse=True)
+            if scores and scores[0][0] > 0 and (len(scores) == 1 or scores[0][0] > scores[1][0]):
+                yield node, scores[0][1]
+                free.pop(scores[0][1])
+            else:
+                last.append(node)
+        if len(last) == len(free):
+            yield from zip(last, sorted(free), strict=True)
+
+    def go(left, right):
+        import pandas as pd
+
+        have: dict[int, tuple[list, dict]] = {}
+        for g, node in zip(left["graph_id"], left["node"], strict=True):
+            have.setdefault(g, ([], {}))[0].append(node)
+        for g, row, label in zip(right["graph_id"], right["row"], right["label"], strict=True):
+            have.setdefault(g, ([], {}))[1][row] = label
+        return pd.DataFrame([(g, n, r) for g, x in have.items() for n, r in match(*x)], columns=["graph_id", "node", "row"])
+
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 8
+    bucket = F.pmod(F.xxhash64("graph_id"), F.lit(n)).alias("bucket")
+    left, right = nodes.select(bucket, "graph_id", "node"), rows.select(bucket, "graph_id", "row", "label")
+    return left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInPandas(go, schema)
+
+
+def compare_claims(a: DataFrame, b: DataFrame, status_a: DataFrame, status_b: DataFrame) -> DataFrame:
+    """Per idx the sizes of two models' claim sets and of their intersection and differences; zeroes
+    unless both runs of the idx are ok. Claims: (idx, s, p, o); statuses: (idx, status)."""
+    ok = status_a.select("idx", F.col("status").alias("status_a")).join(status_b.select("idx", F.col("status").alias("status_b")), "idx", "full_outer")
+    ok = ok.withColumn("both_ok", (F.coalesce("status_a", F.lit("")) == "ok") & (F.coalesce("status_b", F.lit("")) == "ok"))
+    sides = three_way(a, b, ["idx", "s", "p", "o"])
+    n = lambda side: F.count(F.when(F.col("side") == side, 1))
+    per = sides.groupBy("idx").agg(n("common").alias("common"), n("asserted_only").alias("only_a"), n("inferred_only").alias("only_b"))
+    out = ok.join(per, "idx", "left")
+    size = lambda c: F.when(F.col("both_ok"), F.coalesce(c, F.lit(0))).otherwise(F.lit(0)).cast("bigint")
+    return out.select("idx", "both_ok", size(F.col("common") + F.col("only_a")).alias("n_a"), size(F.col("common") + F.col("only_b")).alias("n_b"), *[size(F.col(c)).alias(c) for c in ("common", "only_a", "only_b")])

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from reqloom.plans import q_stage, q_text
+from reqloom.plans import q_graph, q_stage, q_text
 from reqloom.plans.fixtures import for_duckdb
 
-QUERIES: dict = {**q_text.QUERIES, **q_stage.QUERIES}
-SQL: dict[str, str] = {k: for_duckdb(v) for m in (q_text, q_stage) for k, v in m.SQL.items()}
+_MODULES = (q_text, q_stage, q_graph)
+QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+SQL: dict[str, str] = {k: for_duckdb(v) for m in _MODULES for k, v in m.SQL.items()}
