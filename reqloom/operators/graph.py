@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from reqloom import vocab as V
 from reqloom.functions.text import local_name
-from reqloom.operators.iterate import fixpoint
+from reqloom.operators.iterate import checkpointed, fixpoint
 
 KEY = ["graph_id", "s", "p", "o", "o_kind"]
 
@@ -283,10 +283,11 @@ def connected_part(t: DataFrame, namespace: str = V.REQ) -> DataFrame:
     Seeds: subjects in the namespace; a graph without seeds keeps all its non-schema triples. Literals
     aren't walked through.
     """
-    plain = t.where(~is_schema_for_pruning()).select(KEY).distinct()
+    plain = checkpointed(t.where(~is_schema_for_pruning()).select(KEY).distinct())
     seeds = plain.where(F.col("s").startswith(namespace)).select("graph_id", F.col("s").alias("node")).distinct()
     iri = plain.where("o_kind != 'literal'")
     edges = iri.select("graph_id", F.col("s").alias("a"), F.col("o").alias("b")).union(iri.select("graph_id", "o", "s")).distinct()
+    edges = checkpointed(edges)
 
     def step(fresh: DataFrame) -> DataFrame:
         return fresh.withColumnRenamed("node", "a").join(edges, ["graph_id", "a"]).select("graph_id", F.col("b").alias("node"))
@@ -308,7 +309,7 @@ def local_annotations(t: DataFrame, namespace: str = V.REQ) -> DataFrame:
 
 def closure(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
     """Transitive closure (child, parent) of an edge table, cycles included."""
-    edges = edges.select(F.col(child).alias("child"), F.col(parent).alias("parent")).distinct()
+    edges = checkpointed(edges.select(F.col(child).alias("child"), F.col(parent).alias("parent")).distinct())
     up = edges.select(F.col("child").alias("parent"), F.col("parent").alias("next"))
     return fixpoint(edges, lambda fresh: fresh.join(up, "parent").select("child", F.col("next").alias("parent")))
 
@@ -346,7 +347,7 @@ def with_inverses(t: DataFrame, pairs: DataFrame) -> DataFrame:
 def transitive(t: DataFrame, predicates: list[str], symmetric: list[str] = ()) -> DataFrame:
     """Closes transitive predicates over paths of the graph, after the symmetric ones are mirrored."""
     swap = t.where(F.col("p").isin(*symmetric)).select("graph_id", F.col("o").alias("s"), "p", F.col("s").alias("o"), "o_kind") if symmetric else None
-    base = t.select(KEY) if swap is None else insert(t, swap)
+    base = checkpointed(t.select(KEY) if swap is None else insert(t, swap))
     hop = base.where(F.col("p").isin(*predicates)).select("graph_id", F.col("s").alias("o"), "p", F.col("o").alias("next"))
     paths = fixpoint(base.where(F.col("p").isin(*predicates)), lambda fresh: fresh.join(hop, ["graph_id", "p", "o"]).select("graph_id", "s", "p", F.col("next").alias("o"), "o_kind"))
     return insert(base, paths)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reqloom.operators.iterate import checkpointed
+
 from reqloom.functions import text as X
 
 
@@ -46,11 +48,12 @@ def split(df: DataFrame, taken: DataFrame, key: str) -> DataFrame:
 def cover_families(selected: DataFrame, pool: DataFrame, key: str, families: list[str], family: str = "family", stratum: str = "stratum") -> DataFrame:
     """Brings in the first pool row of each family that the sample lacks, for the last row of the most
     common family there. A loop over the list of families, of which there are a handful."""
+    selected, pool = checkpointed(selected), checkpointed(pool)
     for f in families:
         if selected.where(F.col(family) == f).isEmpty():
             new = pool.where(F.col(family) == f).orderBy(key).limit(1)
             counts = selected.groupBy(family).count().where("count > 1").orderBy(F.col("count").desc(), family).limit(1)
             old = selected.join(counts, family, "left_semi").orderBy(F.col(key).desc()).limit(1)
             if not new.isEmpty() and not old.isEmpty():
-                selected = selected.join(old.select(key), key, "left_anti").unionByName(new.select(selected.columns))
+                selected = checkpointed(selected.join(old.select(key), key, "left_anti").unionByName(new.select(selected.columns)))
     return selected

@@ -235,7 +235,7 @@ def g10(spark, d):
 _EDGES = "SELECT CAST(0 AS BIGINT) AS graph_id, a AS s, 'urn:link' AS p, b AS o, 'iri' AS o_kind FROM {graph_edges}"
 
 
-@query("g10_reachability", f"""WITH RECURSIVE e AS (SELECT s AS a, o AS b FROM ({_EDGES}) UNION SELECT o, s FROM ({_EDGES})), seen AS (SELECT DISTINCT a AS node FROM e WHERE starts_with(a, 'c1') UNION SELECT e.b FROM seen JOIN e ON e.a = seen.node)
+@query("g10_reachability", f"""WITH RECURSIVE e AS (SELECT s AS a, o AS b FROM ({_EDGES}) UNION SELECT o, s FROM ({_EDGES})), seen AS (SELECT DISTINCT s AS node FROM ({_EDGES}) WHERE starts_with(s, 'c1') UNION SELECT e.b FROM seen JOIN e ON e.a = seen.node)
     SELECT graph_id, s, p, o, o_kind FROM ({_EDGES}) WHERE s IN (SELECT node FROM seen) OR o IN (SELECT node FROM seen)""")
 def g10b(spark, d):
     return G.connected_part(frame(spark, d, _EDGES), "c1").select(G.KEY)

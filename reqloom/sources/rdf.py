@@ -117,12 +117,10 @@ def parse_turtle(text: str) -> list[tuple[str, str, str, str, str | None, str |
                 if peek()[1] != ",":
                     break
                 take()
+            if peek()[1] != ";":
+                return
             while peek()[1] == ";":
                 take()
-                if peek()[1] in (".", "]", ";"):
-                    break
-            else:
-                return
             if peek()[1] in (".", "]"):
                 return
 
@@ -130,12 +128,12 @@ def parse_turtle(text: str) -> list[tuple[str, str, str, str, str | None, str |
         kind, raw = take()
         word = raw.lstrip("@").lower()
         if word in ("prefix", "base") and (kind == "at" or ":" not in raw):
-            name = take()[1][:-1] if word == "prefix" else ""
+            name = take()[1] if word == "prefix" else ":"
             target = take()
-            if target[0] != "iri":
+            if target[0] != "iri" or not name.endswith(":"):
                 raise TurtleError(f"expected an IRI, found {target[1]!r}")
             if word == "prefix":
-                prefixes[name] = iri(*target)
+                prefixes[name[:-1]] = iri(*target)
             else:
                 base = iri(*target)
             if kind == "at":
