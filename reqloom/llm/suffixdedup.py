@@ -32,7 +32,7 @@ from .common import materialize, mix64, partitions, prepare, text_or_empty
 LENGTH, GRAM, SHALLOW = 50, 24, 16
 WINDOW = LENGTH - GRAM + 1
 #: Bytes of text in a task's bucket, in a batch that settles its own repeats, and hashed at once.
-BUCKET_BYTES, BATCH_BYTES, CHUNK_BYTES = 8 << 20, 12 << 20, 1 << 17
+BUCKET_BYTES, BATCH_BYTES, CHUNK_BYTES = 4 << 20, 8 << 20, 1 << 17
 LAST = (1 << 63) - 1
 #: h: hash; d, f: a row's id and text check, which tell rows apart; p: position; a, z: from the first and
 #: last start to the anchor; e: end of a range.
