@@ -45,7 +45,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/reqloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["table_path"] = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Removes a table of `materialize` that no later step reads."""
+    jvm, path = table.sparkSession._jvm, table.__dict__["table_path"]
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def partitions(spark: SparkSession, at_least: int = 1) -> int:

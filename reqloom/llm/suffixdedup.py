@@ -14,7 +14,7 @@ anchor and only anchors that several documents share go on:
    that are still equal. Neighbours equal to LENGTH bytes are repeats; the least document keeps them.
 4. cut: the ranges meet their documents.
 
-Each phase ends in a table in the shared folder. A task holds a bucket, never a whole key of the corpus.
+Each phase ends in a table in the shared folder; the anchors' goes once the contexts stand. A task holds a bucket, never a whole key of the corpus.
 """
 
 from __future__ import annotations
@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, partitions, prepare, text_or_empty
+from .common import discard, materialize, mix64, partitions, prepare, text_or_empty
 
 LENGTH, GRAM, SHALLOW = 50, 24, 16
 WINDOW = LENGTH - GRAM + 1
 #: Bytes of text in a task's bucket, in a batch that settles its own repeats, and hashed at once.
-BUCKET_BYTES, BATCH_BYTES, CHUNK_BYTES = 4 << 20, 8 << 20, 1 << 17
+BUCKET_BYTES, BATCH_BYTES, CHUNK_BYTES = 4 << 20, 12 << 20, 1 << 17
 LAST = (1 << 63) - 1
 #: h: hash; d, f: a row's id and text check, which tell rows apart; p: position; a, z: from the first and
 #: last start to the anchor; e: end of a range.
@@ -489,6 +489,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", bucke
     dealt = held.select(F.pmod(F.xxhash64("d"), F.lit(buckets)).cast("int").alias("bucket"), "d", "t")
     shared = materialize(shared_anchors(held, buckets), "anchors")
     parts = materialize(contexts(dealt, shared, buckets), "contexts")
+    discard(shared)
     sorted_ = materialize(repeats(parts, buckets), "ranges")
     ranges = parts.where("kind = 1").select("bucket", "kind", "blob").unionByName(sorted_)
     done = cut(dealt, ranges)
