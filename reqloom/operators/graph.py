@@ -223,11 +223,11 @@ def conformance(t: DataFrame) -> DataFrame:
 
 def conformance_summary(violations: DataFrame, graphs: DataFrame) -> DataFrame:
     """One row a check, those without violations too."""
-    n = graphs.distinct().agg(F.count("*").alias("graphs"))
+    n = graphs.distinct().agg(F.count("*")).scalar()
     per = violations.groupBy("check_id").agg(F.countDistinct("graph_id").alias("graphs_with_violations"), F.count("*").alias("violations"))
     spark = violations.sparkSession
     grid = spark.createDataFrame(list(CHECKS.items()), "check_id string, severity string")
-    out = grid.join(per, "check_id", "left").join(F.broadcast(n))  # n has one row
+    out = grid.join(per, "check_id", "left").withColumn("graphs", n)
     bad = F.coalesce("graphs_with_violations", F.lit(0))
     total = F.coalesce("violations", F.lit(0))
     return out.select(
@@ -307,6 +307,13 @@ def local_annotations(t: DataFrame, namespace: str = V.REQ) -> DataFrame:
     return t.where((local & notes) | header).select(KEY).distinct()
 
 
+def reasoned_artifact(asserted: DataFrame, inferred: DataFrame, namespace: str = V.REQ) -> DataFrame:
+    """What is kept of a reasoner's output for each record: the part of both graphs together that hangs
+    on the record's nodes, and its annotations. A record without inferred triples keeps its own."""
+    both = checkpointed(insert(asserted, inferred))
+    return connected_part(both, namespace).unionByName(local_annotations(both, namespace)).distinct()
+
+
 def closure(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
     """Transitive closure (child, parent) of an edge table, cycles included."""
     edges = checkpointed(edges.select(F.col(child).alias("child"), F.col(parent).alias("parent")).distinct())

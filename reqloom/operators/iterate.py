@@ -17,12 +17,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int = 1000) -> DataFrame:
-    """The least set that holds `start` and all that `step` derives; each round expands new rows only."""
+def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int = 1000, compact: int = 8) -> DataFrame:
+    """The least set that holds `start` and all that `step` derives; each round expands new rows only.
+
+    What each round finds is a checkpoint of its own; every `compact` rounds they become one, so that
+    neither the plan nor what is written grows with rounds times rows.
+    """
     seen = fresh = checkpointed(start.distinct())
-    for _ in range(rounds):
+    for i in range(1, rounds + 1):
         fresh = checkpointed(step(fresh).distinct().join(seen, seen.columns, "left_anti").select(seen.columns))
         if fresh.isEmpty():
             return seen
-        seen = checkpointed(seen.union(fresh))
+        seen = seen.union(fresh) if i % compact else checkpointed(seen.union(fresh))
     raise RuntimeError("no fixpoint was reached")

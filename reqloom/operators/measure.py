@@ -40,7 +40,7 @@ def completion(extraction: DataFrame, normalization: DataFrame, grounding: DataF
     columns has_graph and has_inferred beside status."""
     n = lambda df, c="status = 'ok'": df.agg(count_where(F.expr(c)).alias("ok"), F.count("*").alias("n"))
     e, m, g = n(extraction), n(normalization), n(grounding, "status = 'ok' AND has_graph AND has_inferred")
-    all_ = e.select(F.col("n").alias("n_input"), F.col("ok").alias("n_extracted")).crossJoin(m.select(F.col("ok").alias("n_normalized"))).crossJoin(g.select(F.col("ok").alias("n_end_to_end")))
+    all_ = e.select(F.col("n").alias("n_input"), F.col("ok").alias("n_extracted")).withColumn("n_normalized", m.select("ok").scalar()).withColumn("n_end_to_end", g.select("ok").scalar())
     return all_.select("*", rounded(ratio(F.col("n_extracted"), F.col("n_input"))).alias("extraction_rate"), rounded(ratio(F.col("n_normalized"), F.col("n_extracted"))).alias("normalization_rate"), rounded(ratio(F.col("n_end_to_end"), F.col("n_input"))).alias("end_to_end_rate"))
 
 
@@ -87,7 +87,7 @@ def claim_quality(predicted: DataFrame, missing: DataFrame) -> DataFrame:
     """predicted: supported (nullable boolean); missing: s, p, o of gold claims, blank ones ignored."""
     p = predicted.agg(count_where(F.col("supported")).alias("tp"), count_where(~F.col("supported")).alias("fp"), F.count("supported").alias("annotated"), F.count("*").alias("total"))
     filled = (F.trim("s") != "") & (F.trim("p") != "") & (F.trim("o") != "")
-    both = p.crossJoin(missing.agg(count_where(filled).alias("fn")))  # one row each
+    both = p.withColumn("fn", missing.agg(count_where(filled)).scalar())
     precision, recall = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
     return both.select("tp", "fp", "fn", "annotated", "total", rounded(precision).alias("precision"), rounded(recall).alias("recall"), rounded(F.when(precision + recall != 0, 2 * precision * recall / (precision + recall))).alias("f1"), rounded(ratio(F.col("annotated"), F.col("total"))).alias("coverage"))
 

@@ -79,10 +79,10 @@ def brief(rows: DataFrame, most: int = 50) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, query_id: int, k: int = 10) -> DataFrame:
-    """The k vectors nearest to one by cosine, ties by id. The query's vector is one row."""
-    q = vectors.where(F.col("vec_id") == query_id).select(F.col("embedding").alias("q"))
+    """The k vectors nearest to one by cosine, ties by id. The query's vector is a scalar subquery."""
+    q = vectors.where(F.col("vec_id") == query_id).agg(F.first("embedding")).scalar()
     d = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    both = vectors.join(F.broadcast(q), F.col("vec_id") != query_id)
+    both = vectors.where(F.col("vec_id") != query_id).withColumn("q", q)
     cosine = d(F.col("embedding"), F.col("q")) / F.sqrt(d(F.col("embedding"), F.col("embedding")) * d(F.col("q"), F.col("q")))
     return both.select("vec_id", "label", F.round(cosine, 6).alias("cosine")).orderBy(F.col("cosine").desc(), "vec_id").limit(k)
 

@@ -5,17 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reqloom.operators.iterate import checkpointed
-
 from reqloom.functions import text as X
+from reqloom.operators.iterate import checkpointed
 
 
 def with_stratum(df: DataFrame, text: str = "text", by: str = "lang") -> DataFrame:
     """df with length, bucket (by nearest-rank terciles over all rows) and stratum."""
     df = df.withColumn("length", F.length(F.coalesce(text, F.lit(""))))
     cuts = df.agg(F.expr("percentile_disc(0.33) WITHIN GROUP (ORDER BY length)").alias("p33"), F.expr("percentile_disc(0.66) WITHIN GROUP (ORDER BY length)").alias("p66"))
-    df = df.join(F.broadcast(cuts)).withColumn("bucket", X.length_bucket(F.col("length"), F.col("p33"), F.col("p66")))  # cuts is one row
-    return df.withColumn("stratum", F.concat_ws("|", by, "bucket")).drop("p33", "p66")
+    bucket = X.length_bucket(F.col("length"), cuts.select("p33").scalar(), cuts.select("p66").scalar())
+    return df.withColumn("bucket", bucket).withColumn("stratum", F.concat_ws("|", by, "bucket"))
 
 
 def allocation(counts: DataFrame, size: int) -> DataFrame:

@@ -232,6 +232,20 @@ def g10(spark, d):
     return G.connected_part(frame(spark, d, "triples"), V.REQ + "o").select(G.KEY)
 
 
+_BOTH = f"t AS (SELECT {KEYS} FROM {{triples}} UNION SELECT graph_id, o, '{V.IOF}satisfiesRequirement', s, 'iri' FROM {{triples}} WHERE p = '{V.IOF}requirementSatisfiedBy')"
+
+
+@query("s24_u02_reasoned_artifact", f"""WITH RECURSIVE {_BOTH}, plain AS (SELECT DISTINCT {KEYS} FROM t WHERE NOT {_SCHEMA}), seed AS (SELECT DISTINCT graph_id, s AS node FROM plain WHERE starts_with(s, '{V.REQ}p')),
+    e AS (SELECT graph_id, s AS a, o AS b FROM plain WHERE o_kind <> 'literal' UNION SELECT graph_id, o, s FROM plain WHERE o_kind <> 'literal'),
+    seen AS (SELECT * FROM seed UNION SELECT e.graph_id, e.b FROM seen JOIN e ON e.graph_id = seen.graph_id AND e.a = seen.node)
+    SELECT {KEYS} FROM plain WHERE (graph_id, s) IN (SELECT graph_id, node FROM seen) OR (o_kind <> 'literal' AND (graph_id, o) IN (SELECT graph_id, node FROM seen)) OR graph_id NOT IN (SELECT graph_id FROM seed)
+    UNION SELECT {KEYS} FROM t WHERE starts_with(s, '{V.REQ}p') AND p IN {_in([V.RDFS + x for x in ('comment', 'isDefinedBy', 'label', 'seeAlso')])}""")
+def s24(spark, d):
+    t = frame(spark, d, "triples")
+    inverse = t.where(F.col("p") == V.IOF + "requirementSatisfiedBy").select("graph_id", F.col("o").alias("s"), F.lit(V.IOF + "satisfiesRequirement").alias("p"), F.col("s").alias("o"), F.lit("iri").alias("o_kind"))
+    return G.reasoned_artifact(t, inverse, V.REQ + "p")
+
+
 _EDGES = "SELECT CAST(0 AS BIGINT) AS graph_id, a AS s, 'urn:link' AS p, b AS o, 'iri' AS o_kind FROM {graph_edges}"
 
 

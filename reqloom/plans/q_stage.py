@@ -122,6 +122,18 @@ def a14(spark, d):
     return long.groupBy("metric").agg(F.count("v").alias("n"), F.round(F.avg("v"), 4).alias("mean"), F.min("v").alias("least"), F.max("v").alias("most"), S.nearest_rank("v", 0.5).alias("p50"))
 
 
+@query("j19_run_comparison", """SELECT run_id, count(*) AS records, round(CAST(count(*) FILTER (WHERE status = 'ok') AS DOUBLE) / count(*), 6) AS ok_rate, CAST(sum(n_normalized) AS BIGINT) AS normalized,
+    quantile_disc(CASE WHEN seconds >= 0 THEN seconds END, 0.95) AS p95, row_number() OVER (ORDER BY CAST(count(*) FILTER (WHERE status = 'ok') AS DOUBLE) / count(*) DESC, run_id) AS place FROM {stage_rows} GROUP BY run_id""")
+def j19(spark, d):
+    """Runs side by side, best first; one row a run is ranked."""
+    from pyspark.sql import Window
+
+    rate = S.ratio(S.count_where(F.col("status") == "ok"), F.count("*"))
+    runs = frame(spark, d, "stage_rows").groupBy("run_id").agg(F.count("*").alias("records"), rate.alias("rate"), F.sum("n_normalized").cast("bigint").alias("normalized"), S.nearest_rank("CASE WHEN seconds >= 0 THEN seconds END", 0.95).alias("p95"))
+    place = F.row_number().over(Window.orderBy(F.col("rate").desc(), "run_id")).cast("bigint")
+    return runs.select("run_id", "records", S.rounded(F.col("rate")).alias("ok_rate"), "normalized", "p95", place.alias("place"))
+
+
 @query("a24_automatic_summary", """SELECT count(*) AS records, count(*) FILTER (WHERE status = 'ok') AS n_ok, sum(n_normalized) AS normalized,
     quantile_disc(CASE WHEN status = 'ok' AND seconds >= 0 THEN seconds END, 0.95) AS p95_ok, quantile_disc(CASE WHEN seconds >= 0 THEN seconds END, 0.95) AS p95_all FROM {stage_rows}""")
 def a24(spark, d):
