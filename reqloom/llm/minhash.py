@@ -153,6 +153,140 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
     )
 
 
+#: Texts of one band that are compared as pairs; larger bands are settled in one task.
+PAIRED = 8
+
+
+def span(sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Links (positions) that span the groups of the sets' pairs at or over the similarity. Each step takes
+    one set and counts what it shares with all others, so a dense group costs one pass."""
+    size = np.array([len(x) for x in sets])
+    _, at = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.r_[0, np.cumsum(size)]
+    held = np.zeros(int(at.max()) + 1, bool)
+    open_, links = np.arange(len(sets)), []
+    while len(open_):
+        queue, open_ = [int(open_[0])], open_[1:]
+        where, first = None, 0
+        while queue and len(open_):
+            i = queue.pop()
+            if where is None or len(open_) < first // 2:  # only what is still open is counted
+                first, counted = len(open_), open_
+                where = np.concatenate([at[start[j] : start[j + 1]] for j in counted.tolist()])
+                begin = np.r_[0, np.cumsum(size[counted])[:-1]]
+            held[at[start[i] : start[i + 1]]] = True
+            n = np.add.reduceat(held[where], begin, dtype=np.int64)
+            held[at[start[i] : start[i + 1]]] = False
+            near = counted[n >= similarity * (size[counted] + size[i] - n)]
+            near = near[np.isin(near, open_)]
+            if len(near):
+                links += [(i, j) for j in near.tolist()]
+                queue += near.tolist()
+                open_ = np.setdiff1d(open_, near)
+    return links
+
+
+def groups(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, permutations: int = PERMUTATIONS, band_rows: int = BAND_ROWS) -> DataFrame:
+    """(key, component): for each row the least key of its group of near copies.
+
+    Texts are compared in lower case. Those that agree in a whole band are candidates and each link is
+    verified on the exact shingle sets. Texts of equal sets (those without words among them) are one.
+    Only links that span the groups are kept: bands of up to PAIRED texts are compared as pairs, larger
+    ones in one task each, so no join grows with the square of a band. A row of a null key never names
+    its group, unless no other key is there. Repeated rows stay.
+    """
+    spark = prepare(df.sparkSession)
+    held = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    fields = [held.schema["k"], T.StructField("id", T.BinaryType()), T.StructField("set", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    schema = T.StructType(fields)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, (a, b) = Shingler(), family(permutations)
+        for x in batches:
+            ids, sets, bands = [], [], []
+            for t in x.column(1).to_pylist():
+                g = np.unique(s.shingles(s.words((t or "").lower())))
+                sets.append(g.astype(np.uint32).tobytes())
+                ids.append(xxhash.xxh3_128_digest(sets[-1]))
+                m = minima(g, a, b)
+                bands.append([xxhash.xxh64_intdigest(m[i : i + band_rows].tobytes(), i) - (1 << 63) for i in range(0, permutations, band_rows)] if len(g) else [])
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(ids, pa.binary()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["k", "id", "set", "bands"])
+
+    signed = materialize(held.mapInArrow(sign, schema), "signed")
+    keyed = signed.select("id", "bands").dropDuplicates(["id"]).select("id", F.explode("bands").alias("band"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of the small bands; (id, band) for each text of a large one."""
+        band, ids = None, []
+
+        def out(rows: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.binary(), pa.binary(), pa.int64()), strict=True)], ["a", "b", "band"])
+
+        def settled() -> list:
+            if len(ids) > PAIRED:
+                return [(i, None, band) for i in ids]
+            return [(min(p, q), max(p, q), None) for i, p in enumerate(ids) for q in ids[:i]]
+
+        for x in batches:
+            rows = []
+            for k, i in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
+                if k != band:
+                    rows += settled()
+                    band, ids = k, []
+                ids.append(i)
+            if rows:
+                yield out(rows)
+        rows = settled()
+        if rows:
+            yield out(rows)
+
+    met = keyed.select("band", "id").repartition(partitions(spark), "band").sortWithinPartitions("band").mapInArrow(meet, "a binary, b binary, band long")
+    met = materialize(met, "met")
+    pairs = materialize(met.where("b IS NOT NULL").select("a", "b").distinct(), "pairs")
+    large = met.where("b IS NULL").select(F.col("a").alias("id"), "band")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(large.select("id")).distinct()
+    sets = materialize(signed.select("id", "set").join(wanted, "id", "left_semi").dropDuplicates(["id"]), "sets")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            keep = []
+            for p, q in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True):
+                p, q = np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)
+                if min(len(p), len(q)) < similarity * max(len(p), len(q)):
+                    keep.append(False)
+                    continue
+                n = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(n >= similarity * (len(p) + len(q) - n))
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def spanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        band, ids, held = None, [], []
+
+        def links() -> pa.RecordBatch:
+            got = span(held, similarity) if len(ids) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([ids[p[j]] for p in got], pa.binary()) for j in (0, 1)], ["a", "b"])
+
+        for x in batches:
+            for k, i, g in zip(*[c.to_pylist() for c in x.columns], strict=True):
+                if k != band:
+                    yield links()
+                    band, ids, held = k, [], []
+                ids.append(i)
+                held.append(np.frombuffer(g, np.uint32))
+        yield links()
+
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    found = both.select("a", "b", "sa", "sb").mapInArrow(verify, "a binary, b binary")
+    if not large.isEmpty():
+        dealt = large.join(sets, "id").select("band", "id", "set").repartition(partitions(spark), "band").sortWithinPartitions("band")
+        found = found.unionByName(dealt.mapInArrow(spanned, "a binary, b binary"))
+    group = connected_components(found).withColumnRenamed("node", "id")
+    each = signed.groupBy("id").agg(F.min("k").alias("least"))
+    named = materialize(each.join(group, "id", "left").select("id", F.coalesce("component", "id").alias("c"), "least"), "named")
+    names = named.groupBy("c").agg(F.min("least").alias("component"))
+    return signed.select("k", "id").join(named.select("id", "c").join(names, "c"), "id").select(F.col("k").alias(key), "component")
+
+
 def with_next(df: DataFrame, order: str = "doc_id", text: str = "text", blocks: int | None = None) -> DataFrame:
     """Rows (block, ahead, order, text) such that each block holds a stretch of the order and, with
     ahead = true, the row after it; the last block is followed by the first row of all.

@@ -67,3 +67,27 @@ def test_awkward_stages(spark, awkward, nothing, small):
         for _, f in P.STAGES:
             df = f(spark, df, small)
             df.count()
+
+
+def test_edited_copies_go(spark, small, words):
+    """Texts of Jaccard 0.8 and over go (chains and large groups too), less alike ones stay."""
+    import random
+
+    from llm_checks import groups_of
+
+    r, texts = random.Random(3), []
+    for size, copies in ((200, 3), (300, 4), (60, 14), (400, 2)):
+        base = words(size, 5000).split()
+        texts.append(" ".join(base))
+        for i in range(copies):
+            base = list(base) if i % 2 else texts[-1].split()
+            for _ in range(1 + (i % 3) * size // 120):
+                base[r.randrange(size)] = f"e{r.randrange(10**6)}"
+            texts.append(" ".join(base))
+    texts += [texts[0].upper(), "", None, " \n", "one two", "one two three"]
+    sets = [(lambda w: {tuple(w[i : i + min(5, len(w))]) for i in range(len(w) - min(5, len(w)) + 1)} if w else {()})((t or "").lower().split()) for t in texts]
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    want = sorted(set(groups_of(len(texts), pairs)))
+    assert sorted(x["doc_id"] for x in P.drop_near_copies(spark, df, small).collect()) == want
+    assert len(simhash.groups(df).select("component").distinct().collect()) > len(want)
