@@ -70,6 +70,14 @@ def t03(spark, d):
     return t.select("conv_id", "turn", X.normalize_text(raw).alias("t"))
 
 
+@query("t03_normalize_whole")
+def t03_whole(spark, d):
+    """All turns, whole texts. DuckDB's word boundaries know ASCII only, so a test holds it."""
+    t = spark.read.parquet(f"{d}/conversations.parquet")
+    raw = F.concat(F.lit("3 "), F.col("text"), F.lit(" ## FR. 3.1.2 see 1.2.3 and Figure 7 SAFE MODE a. $x 5\\% "))
+    return t.select("conv_id", "turn", X.normalize_text(raw).alias("t"))
+
+
 @query("t05_score_candidate", "SELECT idx, CAST(10 * (" + " + ".join(f"CAST(contains(l, '{w}') AS INT)" for w in ("shall", "must", "should", "may", "will", "is")) + ") + 3 * (" + " + ".join(f"CAST(contains(l, '{w}') AS INT)" for w in X.COMPARATORS) + ") AS INT) AS score, CAST(length(l) AS INT) AS length FROM (SELECT idx, lower(original_text) AS l FROM {requirements})")
 def t05(spark, d):
     return frame(spark, d, "requirements").select("idx", X.score_candidate(F.col("original_text")).alias("s")).select("idx", "s.score", "s.length")
