@@ -169,6 +169,20 @@ def t24(spark, d):
     return c.select("conv_id", "turn", X.strip_examples(prompt, "Examples:", ("Now analyze", "Now solve.")).alias("t"))
 
 
+@query("t21_t23_model_text_whole", """SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text ELSE raw END AS unfenced, CASE turn % 3 WHEN 1 THEN text ELSE raw END AS unmarked, CASE WHEN turn % 3 = 2 THEN trim(substr(raw, 6), ' ' || chr(10) || chr(9)) END AS xml
+    FROM (SELECT x.conv_id, x.turn, x.raw, trim(c.text, ' ' || chr(10) || chr(9) || chr(13)) AS text FROM {llm_text} x JOIN conversations c ON x.conv_id = c.conv_id AND x.turn = c.turn)""")
+def t21_whole(spark, d):
+    t = frame(spark, d, "llm_text")
+    return t.select("conv_id", "turn", X.strip_fence(F.col("raw")).alias("unfenced"), X.drop_language_lines(F.col("raw")).alias("unmarked"), X.xml_fragment(F.col("raw")).alias("xml"))
+
+
+@query("t24_strip_examples_whole", "SELECT conv_id, turn, 'Task.' || chr(10) || chr(10) || 'Now solve. ' || trim(text) || chr(10) AS t FROM conversations")
+def t24_whole(spark, d):
+    c = spark.read.parquet(f"{d}/conversations.parquet")
+    prompt = F.concat(F.lit("Task.\n\n\nExamples:\nx -> y\n\n"), F.lit("Now solve. "), F.col("text"))
+    return c.select("conv_id", "turn", X.strip_examples(prompt, "Examples:", ("Now analyze", "Now solve.")).alias("t"))
+
+
 @query("t25_t30_names", r"""SELECT o AS iri, regexp_extract(o, '[^#/]*$') AS name, array_to_string(list_filter(regexp_split_to_array(lower(regexp_extract(o, '[^#/]*$')), '[^a-z0-9]+'), lambda x: x <> ''), ' ') AS tokens, CAST(80 AS BIGINT) AS idx FROM (SELECT DISTINCT o FROM {triples} WHERE o_kind = 'iri')""")
 def t25(spark, d):
     t = frame(spark, d, "SELECT DISTINCT o AS iri FROM {triples} WHERE o_kind = 'iri'")

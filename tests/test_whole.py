@@ -18,3 +18,11 @@ def test_t03_normalizes_all_turns(spark, small, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {(r["conv_id"], r["turn"]): r["t"] for r in catalog.QUERIES["t03_normalize_whole"](spark, str(tmp_path)).collect()}
     assert got == {(c, n): None if t is None else plain(t) for c, n, t in rows}
+
+
+def test_t21_t24_take_all_turns(spark, small):
+    """Turns of several lines and with backticks too; the SQL holds the texts."""
+    c = spark.read.parquet(f"{small}/conversations.parquet")
+    assert c.where(r"text LIKE '%\n%'").count() > 0
+    for name in ("t21_t23_model_text_whole", "t24_strip_examples_whole"):
+        assert catalog.QUERIES[name](spark, small).count() == c.count()
