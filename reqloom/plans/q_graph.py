@@ -255,6 +255,16 @@ def g10b(spark, d):
     return G.connected_part(frame(spark, d, _EDGES), "c1").select(G.KEY)
 
 
+_WHOLE = _EDGES.replace("{graph_edges}", "{graph_edges_whole}")
+
+
+@query("g10_reachability_whole", f"""WITH RECURSIVE e AS (SELECT s AS a, o AS b FROM ({_WHOLE}) UNION SELECT o, s FROM ({_WHOLE})), seen AS (SELECT DISTINCT s AS node FROM ({_WHOLE}) WHERE starts_with(s, 'c1') UNION SELECT e.b FROM seen JOIN e ON e.a = seen.node)
+    SELECT graph_id, s, p, o, o_kind FROM ({_WHOLE}) WHERE s IN (SELECT node FROM seen) OR o IN (SELECT node FROM seen)""")
+def g10_whole(spark, d):
+    """All orders, customers and nations, with the hubs that these have."""
+    return G.connected_part(frame(spark, d, _WHOLE), "c1").select(G.KEY)
+
+
 @query("g11_local_annotations", f"SELECT DISTINCT {KEYS} FROM {{triples}} WHERE (starts_with(s, '{V.REQ}') AND p IN {_in([V.RDFS + x for x in ('comment', 'isDefinedBy', 'label', 'seeAlso')])}) OR (p = '{V.TYPE}' AND o = '{V.OWL}Ontology')")
 def g11(spark, d):
     return G.local_annotations(frame(spark, d, "triples"))

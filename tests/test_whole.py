@@ -26,3 +26,11 @@ def test_t21_t24_take_all_turns(spark, small):
     assert c.where(r"text LIKE '%\n%'").count() > 0
     for name in ("t21_t23_model_text_whole", "t24_strip_examples_whole"):
         assert catalog.QUERIES[name](spark, small).count() == c.count()
+
+
+def test_g10_walks_all_edges(spark, small):
+    from reqloom.plans.fixtures import frame
+
+    orders, customers = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("orders", "customer"))
+    want = orders.select("o_orderkey", "o_custkey").distinct().count() + customers.select("c_custkey", "c_nationkey").distinct().count()
+    assert frame(spark, small, "graph_edges_whole").count() == want
