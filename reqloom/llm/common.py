@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
-#: Rows in an Arrow batch; bounds what a Python worker holds of long texts.
-BATCH_ROWS = 1000
+#: Rows and bytes in an Arrow batch; they bound what a Python worker holds of long texts.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -25,6 +25,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     env.setdefault("TOKENIZERS_PARALLELISM", "false")
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     for key in ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.shuffleDependency.fileCleanup.enabled"):
         spark.conf.set(key, "true")
     return spark
