@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _least(df: DataFrame, extra) -> DataFrame:
@@ -37,6 +37,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
         least = _least(both, F.least("m", "u"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = materialize(large, "large")
+        discard(edges)
         least = _least(large, F.col("m"))
         small = (
             large.join(least, "u")
@@ -46,6 +47,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
             .distinct()
         )
         edges = materialize(small, "small")
+        discard(large)
         now = _mark(edges)
         if now == mark:
             break
