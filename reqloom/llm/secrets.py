@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, prepare, text_or_empty
@@ -47,31 +47,35 @@ RULES = BASE + MORE
 SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
-def spans_of(text: Column, rule: Rule, rank: int) -> Column:
-    """The leftmost non-overlapping matches of a rule as sorted structs (start, rank, kind, end).
-
-    Offsets are code points, the end is exclusive. A null text has no matches.
-    """
+def lengths_of(text: Column, rule: Rule, rank: int) -> Column:
+    """Struct (rank, gaps, wholes, groups) of a rule's leftmost non-overlapping matches: the lengths in
+    code points of what stands before each match, of the match and of the group that counts. Null for a
+    text without a match."""
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     group = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.least else whole
-    gaps = F.split(text, rule.pattern, -1)
-
-    def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["match"])
-        one = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        keep = F.length(x["group"]) >= rule.least
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
+    size = lambda x: F.length(x)
+    one = F.struct(
+        F.lit(rank).alias("rank"), F.transform(F.split(text, rule.pattern, -1), size).alias("gaps"),
+        F.transform(whole, size).alias("wholes"), F.transform(group, size).alias("groups"),
+    )
+    return F.when(text.rlike(rule.pattern), one)
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
-    zipped = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), whole.alias("match"), group.alias("group"))
-    found = F.aggregate(zipped, zero, step)["out"]
-    return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast(SPANS))
 
+def spans_of(found: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, spans) from rows (blob, found array of `lengths_of`), blobs with spans only.
 
-def scan_text(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """All spans of the rules, by start, then by the rules' order."""
-    return F.array_sort(F.concat(*[spans_of(text, r, i) for i, r in enumerate(rules)]))
+    A match is a row of numbers here, and its place the sum of what stands before it: a text of many
+    matches costs a sort of its rows, never a growing array.
+    """
+    each = found.select("blob", F.explode("found").alias("f")).select("blob", "f.rank", F.posexplode(F.arrays_zip("f.wholes", "f.groups", "f.gaps")).alias("i", "m"))
+    each = each.where("m.wholes IS NOT NULL").repartition("blob")  # one dealing for the sums and for the spans
+    upto = Window.partitionBy("blob", "rank").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.sum(F.col("m.gaps") + F.col("m.wholes")).over(upto).cast("int")
+    each = each.select("blob", "rank", end.alias("end"), F.col("m.wholes").alias("n"), F.col("m.groups").alias("g"))
+    least = F.element_at(F.array(*[F.lit(r.least) for r in rules]), F.col("rank") + 1)
+    kind = F.element_at(F.array(*[F.lit(r.kind) for r in rules]), F.col("rank") + 1)
+    span = F.struct((F.col("end") - F.col("n")).alias("start"), "rank", kind.alias("kind"), "end")
+    return each.where(F.col("g") >= least).groupBy("blob").agg(F.array_sort(F.collect_list(span)).alias("spans"))
 
 
 def address(text: Column) -> Column:
@@ -83,8 +87,9 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
 
     versions: one row for each historical version, the content in `text` (null: empty); further columns
     are ignored. ledger: (blob, rules) rows that were scanned, `rules` being the sorted rule versions;
-    None: nothing was. Findings: (blob, rule, spans), one row for each pair with a match. New ledger
-    rows: (blob, rules) for every blob scanned now, with or without a match.
+    None: nothing was. Findings: (blob, spans), one row for each blob with a match of a rule that the
+    ledger did not have for it; spans are sorted. New ledger rows: (blob, rules) for every blob scanned
+    now, with or without a match. Both come from a table of the scan, which is made once.
     """
     blobs = versions.select(text_or_empty(text).alias("t")).withColumn("blob", address(F.col("t")))
     distinct = blobs.groupBy("blob").agg(F.first("t").alias("t"))
@@ -95,13 +100,19 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
         seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("rules"))).alias("seen"))
         todo = distinct.join(seen, "blob", "left").withColumn("todo", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>"))))
         todo = todo.where(F.size("todo") > 0)
-    none = F.array().cast(SPANS)
-    if ledger is None:
-        each = [spans_of(F.col("t"), r, i) for i, r in enumerate(rules)]
-    else:
-        each = [F.when(F.array_contains("todo", r.key), spans_of(F.col("t"), r, i)).otherwise(none) for i, r in enumerate(rules)]
-    found = todo.select("blob", F.array_sort("todo").alias("rules"), F.concat(*each).alias("spans"))
-    return found.where(F.size("spans") > 0).select("blob", "rules", F.array_sort("spans").alias("spans")), found.select("blob", "rules")
+    each = [F.when(F.array_contains("todo", r.key), lengths_of(F.col("t"), r, i)) for i, r in enumerate(rules)]
+    found = materialize(todo.select("blob", F.array_sort("todo").alias("rules"), F.array_compact(F.array(*each)).alias("found")), "scanned")
+    return spans_of(found, rules), found.select("blob", "rules")
+
+
+def follow(versions: DataFrame, history: tuple[tuple[Rule, ...], ...], text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(findings, ledger) of one scan after another, by ever newer rule sets: each scan takes only the
+    pairs of blob and rule version that no earlier one had, and all findings are united."""
+    findings = ledger = None
+    for rules in history:
+        got, seen = scan(versions, ledger, rules, text)
+        findings, ledger = (got, seen) if findings is None else (findings.unionByName(got), ledger.unionByName(seen))
+    return findings, ledger
 
 
 def findings_by_path(versions: DataFrame, findings: DataFrame, text: str = "text", name: str = "spans") -> DataFrame:
@@ -121,15 +132,18 @@ def written(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column, mask: str = "[REDACTED]") -> Column:
-    """The text with every span replaced by the mask; overlapping or touching spans count as one."""
-
+    """The text with every span replaced by the mask; overlapping or touching spans count as one. A null
+    text stays null. What is kept are the pieces before each span that starts after all earlier ends, and
+    what stands after the last end."""
     def step(acc, s):
-        gap = F.when(s["start"] > acc["at"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"])).otherwise(F.lit(""))
-        new = (s["start"] > acc["at"]) | (acc["at"] == 0) & (F.length(acc["out"]) == 0)
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"]).alias("out"))
+        new = (s["start"] > acc["at"]) | acc["first"]
+        cut = F.struct(acc["at"].alias("a"), s["start"].alias("b"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.lit(False).alias("first"), F.when(new, F.concat(acc["cuts"], F.array(cut))).otherwise(acc["cuts"]).alias("cuts"))
 
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+    zero = F.struct(F.lit(0).alias("at"), F.lit(True).alias("first"), F.array().cast("array<struct<a:int,b:int>>").alias("cuts"))
+    done = F.aggregate(spans, zero, step)
+    pieces = F.transform(done["cuts"], lambda c: F.concat(F.substring(text, c["a"] + 1, c["b"] - c["a"]), F.lit(mask)))
+    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(pieces, ""), F.substring(text, done["at"] + 1, F.length(text))))
 
 
 def report(docs: DataFrame, findings: DataFrame) -> DataFrame:
@@ -145,8 +159,10 @@ def report(docs: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def op3_secrets(spark, sf_dir: str) -> DataFrame:
+    """Two scans of all documents: by the base rules, then by all rules. The ledger of the first keeps the
+    second to the pairs that are new, and the findings of both are joined back to every document."""
     docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    findings, _ = scan(docs)
+    findings, _ = follow(docs, (BASE, RULES))
     return report(docs, materialize(findings, "findings"))
 
 
