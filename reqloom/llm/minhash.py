@@ -3,8 +3,8 @@
 Universal hash functions h(x) = (a x + b mod 2^64) >> 32 stand for permutations of the shingles'
 universe; numpy takes the least value of each over all word shingles of a text. A fingerprint keeps
 the low 16 bits of each minimum. Likeness of two fingerprints is the share of equal entries, which
-estimates the Jaccard index of the shingle sets. `near_duplicates` joins bands of the signature in
-Spark, verifies the exact Jaccard index and closes the links to groups.
+estimates the Jaccard index of the shingle sets. `classes` and `groups` join bands of the signature in
+Spark, verify the exact Jaccard index and close the links to groups.
 """
 
 from __future__ import annotations
@@ -99,60 +99,6 @@ def fingerprints(df: DataFrame, text: str = "text", name: str = "fingerprint", p
     return df.mapInArrow(go, schema)
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, permutations: int = PERMUTATIONS, band_rows: int = BAND_ROWS) -> DataFrame:
-    """One row (key, class_id, n_links) for each row of df.
-
-    Equal texts share a class and are compared once. Pairs of different texts that agree in a whole
-    band are candidates; each is verified on its exact shingle sets. n_links counts the different texts
-    that are linked with this one.
-    Null or empty texts have no shingle and link with nothing but equal texts; rows of a null key stay.
-    """
-    spark = prepare(df.sparkSession)
-    held = df.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).withColumn("sha", F.sha2("t", 256))
-    rows = materialize(held.select("k", "sha"), "keys")
-    texts = held.groupBy("sha").agg(F.first("t").alias("t"))
-    schema = T.StructType([T.StructField("sha", T.StringType()), T.StructField("set", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, (a, b) = Shingler(), family(permutations)
-        for x in batches:
-            sets, bands = [], []
-            for t in x.column(1).to_pylist():
-                g = np.unique(s.shingles(s.words(t)))
-                sets.append(g.astype(np.uint32).tobytes())
-                m = minima(g, a, b)
-                bands.append([xxhash.xxh64_intdigest(m[i : i + band_rows].tobytes(), i) - (1 << 63) for i in range(0, permutations, band_rows)] if len(g) else [])
-            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema.names)
-
-    signed = materialize(texts.mapInArrow(go, schema), "signed")
-    keyed = signed.select("sha", F.explode("bands").alias("band"))
-    pairs = (
-        keyed.alias("x").join(keyed.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.sha") < F.col("y.sha")))
-        .select(F.col("x.sha").alias("a"), F.col("y.sha").alias("b")).distinct()
-    )
-    sets = signed.select("sha", "set")
-    both = pairs.join(sets.select(F.col("sha").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("sha").alias("b"), F.col("set").alias("sb")), "b")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            keep = []
-            for p, q in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)
-                n = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(n >= similarity * (len(p) + len(q) - n))
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    links = materialize(both.select("a", "b", "sa", "sb").mapInArrow(verify, "a string, b string"), "links")
-    degree = links.select(F.explode(F.array("a", "b")).alias("sha")).groupBy("sha").count()
-    group = connected_components(links).withColumnRenamed("node", "sha")
-    first = rows.join(group, "sha", "left").withColumn("c", F.coalesce("component", "sha"))
-    least = first.groupBy("c").agg(F.min("k").alias("class_id"))
-    return (
-        first.join(least, "c").join(degree, "sha", "left")
-        .select(F.col("k").alias(key), "class_id", F.coalesce("count", F.lit(0)).cast("long").alias("n_links"))
-    )
-
-
 #: Texts of one band that are compared as pairs; larger bands are settled in one task.
 PAIRED = 8
 
@@ -186,37 +132,27 @@ def span(sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple[i
     return links
 
 
-def groups(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, permutations: int = PERMUTATIONS, band_rows: int = BAND_ROWS) -> DataFrame:
-    """(key, component): for each row the least key of its group of near copies.
+def bands_of(m: np.ndarray, band_rows: int = BAND_ROWS) -> list[int]:
+    return [xxhash.xxh64_intdigest(m[i : i + band_rows].tobytes(), i) - (1 << 63) for i in range(0, len(m), band_rows)]
 
-    Texts are compared in lower case. Those that agree in a whole band are candidates and each link is
-    verified on the exact shingle sets. Texts of equal sets (those without words among them) are one.
-    Only links that span the groups are kept: bands of up to PAIRED texts are compared as pairs, larger
-    ones in one task each, so no join grows with the square of a band. A row of a null key never names
-    its group, unless no other key is there. Repeated rows stay.
-    """
-    spark = prepare(df.sparkSession)
-    held = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    fields = [held.schema["k"], T.StructField("id", T.BinaryType()), T.StructField("set", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
-    schema = T.StructType(fields)
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, (a, b) = Shingler(), family(permutations)
-        for x in batches:
-            ids, sets, bands = [], [], []
-            for t in x.column(1).to_pylist():
-                g = np.unique(s.shingles(s.words((t or "").lower())))
-                sets.append(g.astype(np.uint32).tobytes())
-                ids.append(xxhash.xxh3_128_digest(sets[-1]))
-                m = minima(g, a, b)
-                bands.append([xxhash.xxh64_intdigest(m[i : i + band_rows].tobytes(), i) - (1 << 63) for i in range(0, permutations, band_rows)] if len(g) else [])
-            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(ids, pa.binary()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["k", "id", "set", "bands"])
-
-    signed = materialize(held.mapInArrow(sign, schema), "signed")
+def set_id(x: np.ndarray) -> bytes:
+    """Names a set of shingles (sorted, unique)."""
+    return xxhash.xxh3_128_digest(x.astype(np.uint32).tobytes())
+
+
+def links_of(signed: DataFrame, sets_of, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) that span the groups of near copies among signed (id, bands).
+
+    Ids that agree in a whole band are candidates. Bands of up to PAIRED ids are compared as pairs, larger
+    ones in one task each, so no join grows with the square of a band; each link is verified on the exact
+    sets, which `sets_of` gives (ids -> (id, set)) for what has met only.
+    """
+    spark = signed.sparkSession
     keyed = signed.select("id", "bands").dropDuplicates(["id"]).select("id", F.explode("bands").alias("band"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of the small bands; (id, band) for each text of a large one."""
+        """Pairs of the small bands; (id, band) for each id of a large one."""
         band, ids = None, []
 
         def out(rows: list) -> pa.RecordBatch:
@@ -244,8 +180,8 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: f
     met = materialize(met, "met")
     pairs = materialize(met.where("b IS NOT NULL").select("a", "b").distinct(), "pairs")
     large = met.where("b IS NULL").select(F.col("a").alias("id"), "band")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(large.select("id")).distinct()
-    sets = materialize(signed.select("id", "set").join(wanted, "id", "left_semi").dropDuplicates(["id"]), "sets")
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(large.select("id")).distinct(), "wanted")
+    sets = materialize(sets_of(wanted), "sets")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -280,11 +216,57 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: f
     if not large.isEmpty():
         dealt = large.join(sets, "id").select("band", "id", "set").repartition(partitions(spark), "band").sortWithinPartitions("band")
         found = found.unionByName(dealt.mapInArrow(spanned, "a binary, b binary"))
-    group = connected_components(found).withColumnRenamed("node", "id")
-    each = signed.groupBy("id").agg(F.min("k").alias("least"))
-    named = materialize(each.join(group, "id", "left").select("id", F.coalesce("component", "id").alias("c"), "least"), "named")
-    names = named.groupBy("c").agg(F.min("least").alias("component"))
-    return signed.select("k", "id").join(named.select("id", "c").join(names, "c"), "id").select(F.col("k").alias(key), "component")
+    return found
+
+
+def classes(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, permutations: int = PERMUTATIONS, band_rows: int = BAND_ROWS, lower: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(signed, names): signed (k, id), one row for each row of df, id naming the text's shingle set; names
+    (id, class_id), the least key of the id's group of near copies, for ids that have a link or several
+    rows. All others are a class of their own key.
+
+    The exact sets are made again for the texts that meet in a band, so none are kept for all.
+    """
+    held = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    shingled = lambda s, t: np.unique(s.shingles(s.words((t or "").lower() if lower else t or "")))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, (a, b) = Shingler(), family(permutations)
+        for x in batches:
+            sets = [shingled(s, t) for t in x.column(1).to_pylist()]
+            bands = [bands_of(minima(g, a, b), band_rows) if len(g) else [] for g in sets]
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(map(set_id, sets), pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["k", "id", "bands"])
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = Shingler()
+        for x in batches:
+            sets = [shingled(s, t) for t in x.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(map(set_id, sets), pa.binary()), pa.array([g.astype(np.uint32).tobytes() for g in sets], pa.binary())], ["id", "set"])
+
+    signed = materialize(held.mapInArrow(sign, T.StructType([held.schema["k"], T.StructField("id", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])), "signed")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        keys = materialize(signed.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("k").alias("k")).select(F.col("k").alias("w")).distinct(), "keys")
+        texts = held.join(keys, F.col("k").eqNullSafe(F.col("w")), "left_semi").select("t")
+        return texts.mapInArrow(again, "id binary, set binary").join(wanted, "id", "left_semi").dropDuplicates(["id"])
+
+    group = connected_components(links_of(signed, sets_of, similarity)).withColumnRenamed("node", "id")
+    each = signed.groupBy("id").agg(F.min("k").alias("least"), F.count("*").alias("n"))
+    named = materialize(each.join(group, "id", "left").where("n > 1 OR component IS NOT NULL").select("id", F.coalesce("component", "id").alias("c"), "least"), "named")
+    least = named.groupBy("c").agg(F.min("least").alias("class_id"))
+    return signed.select("k", "id"), materialize(named.join(least, "c").select("id", "class_id"), "classes")
+
+
+def groups(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, permutations: int = PERMUTATIONS, band_rows: int = BAND_ROWS, lower: bool = True) -> DataFrame:
+    """(key, component): for each row the least key of its group of near copies.
+
+    Texts are compared in lower case unless `lower` is false. Those that agree in a whole band are
+    candidates and each link is verified on the exact shingle sets. Texts of equal sets (those without
+    words among them) are one. A row of a null key never names its group, unless no other key is there.
+    Repeated rows stay.
+    """
+    prepare(df.sparkSession)
+    signed, names = classes(df, key, text, similarity, permutations, band_rows, lower)
+    return signed.join(names, "id", "left").select(F.col("k").alias(key), F.coalesce("class_id", "k").alias("component"))
 
 
 def with_next(df: DataFrame, order: str = "doc_id", text: str = "text", blocks: int | None = None) -> DataFrame:
@@ -316,10 +298,11 @@ def with_next(df: DataFrame, order: str = "doc_id", text: str = "text", blocks:
     turn = {first[i]["block"]: first[i - 1]["block"] for i in range(len(first))}
     firsts = [(r["block"], None if r["null"] else r["o"], turn[r["block"]]) for r in first]
     ahead = F.array()
-    if firsts:
-        hit = F.create_map(*[x for b, _, to in firsts for x in (F.lit(b), F.lit(to))])
-        least = F.create_map(*[x for b, v, _ in firsts for x in (F.lit(b), F.lit(v).cast("long"))])
-        ahead = F.when(o.eqNullSafe(F.element_at(least, F.col("block"))), F.array(F.struct(F.element_at(hit, F.col("block")).alias("block"), F.lit(True).alias("ahead")))).otherwise(F.array().cast("array<struct<block:int,ahead:boolean>>"))
+    if firsts:  # arrays by block; as constants they take no room in the plan's code
+        at = {b: (v, to) for b, v, to in firsts}
+        hit = F.lit([at.get(b, (None, -1))[1] for b in range(max(at) + 1)])
+        least = F.array(*[F.lit(at.get(b, (None, -1))[0]).cast("long") for b in range(max(at) + 1)])
+        ahead = F.when(o.eqNullSafe(F.get(least, F.col("block"))), F.array(F.struct(F.get(hit, F.col("block")).alias("block"), F.lit(True).alias("ahead")))).otherwise(F.array().cast("array<struct<block:int,ahead:boolean>>"))
     both = F.concat(F.array(F.struct(F.col("block"), F.lit(False).alias("ahead"))), ahead) if firsts else F.array(F.struct(F.col("block"), F.lit(False).alias("ahead")))
     return held.select(F.explode(both).alias("p"), "o", "t").select("p.block", "p.ahead", "o", "t").repartition(n, "block").sortWithinPartitions("block", "ahead", "o", "t")
 
@@ -331,38 +314,64 @@ def edited(text: str, following: str) -> str:
 
 
 def compare_next(df: DataFrame, order: str = "doc_id", text: str = "text", permutations: int = PERMUTATIONS) -> DataFrame:
-    """(order, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
+    """(order, set_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of
+    every row; set_id names the text's set of shingles.
 
     A null text is empty. Rows of equal order follow each other by their texts; null orders come first.
     A table of one row is followed by itself. Texts without shingles have equal fingerprints, so their
-    likeness is 1.
+    likeness is 1. The shingles that a text and its edited text begin with are hashed once for both.
     """
-    schema = "o long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "o long, set_id binary, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, (a, b) = Shingler(), family(permutations)
-        held = None  # (block, order, text, words' hashes, signature) that waits for the next row
+        held = None  # (block, order, text, shingles) that waits for the next row
+        waiting = None  # the same row's outcome, but for the likeness to the next one
         for x in batches:
             out: list[tuple] = []
+
+            def finish(t: str, out=out) -> None:
+                """What the row that waits has of its own and of its edited text."""
+                nonlocal waiting
+                _, o, own, h = held
+                e = edited(own, t)
+                g = s.shingles(s.words(e))
+                n = min(len(h), len(g))
+                same = int(np.argmin(np.r_[h[:n] == g[:n], False]))
+                common = minima(h[:same], a, b)
+                sig = np.minimum(common, minima(h[same:], a, b))
+                esig = np.minimum(common, minima(g[same:], a, b))
+                digest = hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest()
+                settle(sig, out)
+                waiting = (o, set_id(np.unique(h)), len(own), digest, hexed(sig), hexed(esig), likeness(sig, esig)), sig
+
+            def settle(sig: np.ndarray | None, out: list) -> None:
+                nonlocal waiting
+                if waiting is not None:
+                    out.append((*waiting[0], likeness(waiting[1], sig)))
+                waiting = None
+
             for block, ahead, o, t in zip(*[c.to_pylist() for c in x.columns], strict=True):
                 if ahead and (held is None or held[0] != block):
                     continue  # a further row of the same order as the one that was ahead
-                h = s.words(t)
-                sig = minima(s.shingles(h), a, b)
+                h = s.shingles(s.words(t))
                 if held is not None and held[0] == block:
-                    _, po, pt, psig = held
-                    e = edited(pt, t)
-                    esig = minima(s.shingles(s.words(e)), a, b)
-                    out.append((po, len(pt), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), hexed(psig), hexed(esig), likeness(psig, esig), likeness(psig, sig)))
-                held = None if ahead else (block, o, t, sig)
+                    finish(t)
+                if ahead:
+                    settle(minima(h, a, b), out)
+                held = None if ahead else (block, o, t, h)
             if out:
-                cols = list(zip(*out, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     return with_next(df, order, text).mapInArrow(go, schema).withColumnRenamed("o", order)
 
 
 def op2_minhash(spark, sf_dir: str) -> DataFrame:
-    return compare_next(prepare(spark).read.parquet(f"{sf_dir}/documents.parquet"))
+    """Fingerprints of all texts and edited texts, and each text's class of near copies (class_id): bands
+    of the signatures joined, exact Jaccard of 0.8 and over, closed to groups."""
+    docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    names = classes(docs)[1].withColumnRenamed("id", "set_id")
+    out = compare_next(docs).join(names, "set_id", "left")
+    return out.drop("set_id").withColumn("class_id", F.coalesce("class_id", "doc_id"))
