@@ -8,12 +8,15 @@ blocks meet in a task of their own, so nothing of a large bucket is lost and no
 
 A pair at cosine 0.9 agrees in a bit with probability 0.856: with 8 bits and 20 tables it is missed once
 in 900 pairs, one at 0.95 once in 9000. Tables are done ROUND at a time, which bounds the disk that the
-copies of the vectors take. Larger corpora want more bits and tables (parameters).
+copies of the vectors take. Over 65,536 different vectors the bits grow with the logarithm of their
+number, so that a bucket keeps its size, and the tables with the bits, so that a pair at the threshold
+is missed as seldom. A vector's codes are computed once and travel with it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,18 +29,51 @@ from pyspark.sql import types as T
 from .common import materialize, prepare, read
 from .components import connected_components
 
-COSINE, N_BITS, N_TABLES, ROUND, BLOCK, SEED = 0.9, 8, 20, 5, 1024, 4242
+#: Buckets that a worker counts before it gives its counts away.
+COUNTED = 100_000
+#: N_BITS: the least; MISSED: probability that a pair at the threshold meets in no table.
+COSINE, N_BITS, MISSED, ROUND, BLOCK, SEED = 0.9, 8, 0.0012, 5, 1024, 4242
+
+
+def size_of_index(n: int, cosine: float = COSINE, block: int = BLOCK) -> tuple[int, int]:
+    """(bits, tables) for n different vectors: buckets of a quarter block if the vectors are spread
+    evenly, and as many tables as MISSED wants."""
+    bits = max(N_BITS, math.ceil(math.log2(max(n, 1) / (block / 4))))
+    agree = (1 - math.acos(max(-1.0, min(1.0, cosine))) / math.pi) ** bits
+    return bits, 1 if agree > 1 - MISSED else math.ceil(math.log(MISSED) / math.log1p(-agree))
 
 
 @lru_cache(maxsize=16)
-def directions(dim: int, bits: int = N_BITS, tables: int = N_TABLES, seed: int = SEED) -> np.ndarray:
+def directions(dim: int, bits: int, tables: int, seed: int = SEED) -> np.ndarray:
     return np.random.Generator(np.random.PCG64([seed, dim])).standard_normal((dim, tables * bits))
 
 
 def codes(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
     """Bucket of each vector (row) in each table."""
     sign = (x @ directions(x.shape[1], bits, tables) >= 0).reshape(len(x), tables, bits)
-    return sign @ (1 << np.arange(bits))
+    return (sign @ (1 << np.arange(bits))).astype(np.int32)
+
+
+def coded(reps: DataFrame, bits: int, tables: int) -> DataFrame:
+    """reps (node, n, least, vec) with `code`: int32 buckets by table."""
+    schema = T.StructType([*reps.schema.fields, T.StructField("code", T.BinaryType())])
+    at = reps.columns.index("vec")
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = b.column(at).to_pylist()
+            out = [b""] * len(raw)
+            for size in sorted({len(r) for r in raw}):
+                own = [i for i, r in enumerate(raw) if len(r) == size]
+                for i, c in zip(own, codes(_stack([raw[i] for i in own]), bits, tables), strict=True):
+                    out[i] = c.tobytes()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], schema.names)
+
+    return reps.mapInArrow(go, schema)
+
+
+def _codes(raw: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), np.int32).reshape(len(raw), -1)
 
 
 def _stack(raw: list[bytes]) -> np.ndarray:
@@ -103,8 +139,9 @@ def forest(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def groups(df: DataFrame, key: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE, bits: int = N_BITS, tables: int = N_TABLES, per_round: int = ROUND, block: int = BLOCK) -> DataFrame:
-    """(key, n_links, component_id, kept) for each row of df.
+def groups(df: DataFrame, key: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE, bits: int | None = None, tables: int | None = None, per_round: int = ROUND, block: int = BLOCK) -> DataFrame:
+    """(key, n_links, component_id, kept) for each row of df; `bits` and `tables` follow from the number of
+    different vectors unless they are given.
 
     Cosines are taken in double precision. Vectors that are null, zero or hold a null or a component
     that isn't finite link with nothing, and vectors of different length don't link. Equal vectors are
@@ -113,56 +150,58 @@ def groups(df: DataFrame, key: str = "vec_id", embedding: str = "embedding", cos
     spark = prepare(df.sparkSession)
     rows = materialize(distinct_vectors(df, key, embedding), "vectors")
     reps = rows.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("n"), F.min("k").alias("least"), F.first("vec").alias("vec"))
-    reps = materialize(reps, "distinct")
+    n_vectors = reps.count()
+    own = size_of_index(n_vectors, cosine, block)
+    bits, tables = bits or own[0], tables or own[1]
+    reps = materialize(coded(reps, bits, tables), "distinct")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[int, int, int], int] = {}
         for b in batches:
-            raw = b.column(0).to_pylist()
-            for size in {len(r) for r in raw}:
-                c = codes(_stack([r for r in raw if len(r) == size]), bits, tables)
+            size, c = b.column(0).to_numpy(), _codes(b.column(1).to_pylist())
+            for s in np.unique(size).tolist():
                 for t in range(tables):
-                    for v, n in zip(*np.unique(c[:, t], return_counts=True), strict=True):
-                        total[size, t, int(v)] = total.get((size, t, int(v)), 0) + int(n)
+                    for v, n in zip(*np.unique(c[size == s, t], return_counts=True), strict=True):
+                        total[s, t, int(v)] = total.get((s, t, int(v)), 0) + int(n)
+            if len(total) > COUNTED:
+                yield counted(total)
+                total.clear()
+        yield counted(total)
+
+    def counted(total: dict[tuple[int, int, int], int]) -> pa.RecordBatch:
         k = list(total)
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in k], pa.int64()) for i in range(3)] + [pa.array([total[x] for x in k], pa.int64())], ["size", "t", "c", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in k], pa.int64()) for i in range(3)] + [pa.array([total[x] for x in k], pa.int64())], ["size", "t", "c", "n"])
 
-    # rows: only buckets over a block, of tables * 2^bits for each length of vector
-    large = reps.select("vec").mapInArrow(count, "size long, t long, c long, n long").groupBy("size", "t", "c").agg(F.sum("n").alias("n")).where(F.col("n") > block)
+    # rows: only buckets over a block, which the number of bits makes few
+    large = reps.select(F.octet_length("vec").cast("long"), "code").mapInArrow(count, "size long, t long, c long, n long").groupBy("size", "t", "c").agg(F.sum("n").alias("n")).where(F.col("n") > block)
     blocks = {(r["size"], r["t"], r["c"]): -(-r["n"] // block) for r in large.collect()}
-    keyed = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("t", T.IntegerType()), T.StructField("side", T.IntegerType()), T.StructField("cross", T.BooleanType()), T.StructField("node", T.StringType()), T.StructField("n", T.LongType()), T.StructField("vec", T.BinaryType())])
+    keyed = T.StructType([T.StructField("bucket", T.StringType()), T.StructField("t", T.IntegerType()), T.StructField("side", T.IntegerType()), T.StructField("cross", T.BooleanType()), T.StructField("node", T.StringType()), T.StructField("n", T.LongType()), T.StructField("vec", T.BinaryType()), T.StructField("code", T.BinaryType())])
     counts, links = None, None
     for start in range(0, tables, per_round):
         chosen = range(start, min(start + per_round, tables))
 
         def deal(batches: Iterator[pa.RecordBatch], chosen=chosen) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                raw = b.column(2).to_pylist()
                 at, bucket, table, side, cross = [], [], [], [], []
-                nodes = b.column(0).to_pylist()
-                for size in sorted({len(r) for r in raw}):
-                    own = [i for i, r in enumerate(raw) if len(r) == size]
-                    c = codes(_stack([raw[i] for i in own]), bits, tables)
-                    for row, i in enumerate(own):
-                        for t in chosen:
-                            v = int(c[row, t])
-                            name = ((size // 8) << 40) | (t << 32) | v
-                            n = blocks.get((size, t, v), 1)
-                            mine = int(nodes[i][:8], 16) % n
-                            for other in range(n):
-                                x, y = min(mine, other), max(mine, other)
-                                at.append(i)
-                                bucket.append(int.from_bytes(hashlib.blake2b(f"{name}:{x}:{y}".encode(), digest_size=8).digest(), "big", signed=True) if n > 1 else name)
-                                table.append(t)
-                                side.append(mine)
-                                cross.append(x != y)
+                sizes = [len(r) for r in b.column(2).to_pylist()]
+                c = _codes(b.column(3).to_pylist())[:, list(chosen)].tolist() if len(sizes) else []
+                for i, (node, size) in enumerate(zip(b.column(0).to_pylist(), sizes, strict=True)):
+                    for t, v in zip(chosen, c[i], strict=True):
+                        n = blocks.get((size, t, v), 1)
+                        mine = int(node[:8], 16) % n
+                        for other in range(n):
+                            x, y = min(mine, other), max(mine, other)
+                            at.append(i)
+                            bucket.append(f"{size}:{t}:{v}:{x}:{y}")
+                            table.append(t)
+                            side.append(mine)
+                            cross.append(x != y)
                 take = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(table, pa.int32()), pa.array(side, pa.int32()), pa.array(cross, pa.bool_()), b.column(0).take(take), b.column(1).take(take), b.column(2).take(take)], keyed.names)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(table, pa.int32()), pa.array(side, pa.int32()), pa.array(cross, pa.bool_()), *[x.take(take) for x in b.columns]], keyed.names)
 
         def compare(table: pa.Table) -> pa.Table:
-            raw = table["vec"].to_pylist()
-            x = _stack(raw)
-            code = codes(x, bits, tables)
+            x = _stack(table["vec"].to_pylist())
+            code = _codes(table["code"].to_pylist())
             n = table["n"].to_numpy()
             node = table["node"].to_pylist()
             is_cross = table["cross"][0].as_py()
@@ -179,7 +218,7 @@ def groups(df: DataFrame, key: str = "vec_id", embedding: str = "embedding", cos
                 ["a", "add", "b"],
             )
 
-        dealt = reps.select("node", "n", "vec").mapInArrow(deal, keyed)
+        dealt = reps.select("node", "n", "vec", "code").mapInArrow(deal, keyed)
         got = materialize(dealt.groupBy("bucket").applyInArrow(compare, "a string, add long, b string"), "compared")
         counts = got.where("b IS NULL").select("a", "add") if counts is None else counts.unionByName(got.where("b IS NULL").select("a", "add"))
         links = got.where("b IS NOT NULL").select("a", "b") if links is None else links.unionByName(got.where("b IS NOT NULL").select("a", "b"))
