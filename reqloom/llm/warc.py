@@ -2,10 +2,12 @@
 
 A WARC file is a row of records at ascending offsets. A record's digest is the SHA-256 of its bytes;
 the leaf of an offset range is the SHA-256 of its records' `offset:length:digest` lines, an inner node
-that of its children's. Two replicas are compared root by root; only children of nodes that differ are
-looked at, level by level, until the ranges and then the records that differ are left.
+that of its children's. A file's tree is as high as its own length wants it. Two replicas are compared
+root by root; only children of nodes that differ are looked at, level by level, until the ranges and then
+the records that differ are left.
 
-No group holds more than the records of one offset range or FANOUT children.
+No group holds more than the records of one offset range or FANOUT children, and no task sums a file:
+offsets come from sums over runs of records.
 """
 
 from __future__ import annotations
@@ -32,39 +34,64 @@ def record(page_id: Column, url: Column, html: Column) -> Column:
 def layout(pages: DataFrame, keep: tuple[str, ...] = (), file_records: int = FILE_RECORDS) -> DataFrame:
     """(page_id, *keep, file_id, at, length, digest): the records of pages in files of a run of page ids.
 
-    A null page_id goes to file -1. Records stand by page_id, then digest. A file's offsets are summed in
-    one task, which `file_records` bounds for unique ids.
+    Records without a page_id go by their digest to files -1, -2, ... of about `file_records` each.
+    Records stand by page_id, then digest; equal ones follow each other. A page_id that many records have
+    is summed in runs of equal beginnings of the digest, so no task holds all of it.
     """
     text = record(F.col("page_id"), F.col("url"), F.col("html"))
-    held = pages.select("page_id", *keep, F.coalesce(F.floor(F.col("page_id") / file_records), F.lit(-1)).cast("long").alias("file_id"), F.octet_length(text).cast("long").alias("length"), F.sha2(text, 256).alias("digest"))
-    before = Window.partitionBy("file_id").orderBy(F.col("page_id"), "digest").rowsBetween(Window.unboundedPreceding, -1)
-    return held.withColumn("at", F.coalesce(F.sum("length").over(before), F.lit(0)))
-
-
-def tree(records: DataFrame, levels: int, range_bytes: int = RANGE, fanout: int = FANOUT) -> list[DataFrame]:
-    """[leaves, ..., roots] as (file_id, node, hash) tables of records (file_id, at, length, digest)."""
+    held = pages.select("page_id", *keep, F.octet_length(text).cast("long").alias("length"), F.sha2(text, 256).alias("digest"))
+    held = materialize(held, "records")
+    files = max(1, -(-held.where("page_id IS NULL").count() // file_records))  # a number only
+    lone = -1 - F.pmod(F.conv(F.substring("digest", 1, 15), 16, 10).cast("long"), F.lit(files))
+    held = held.withColumn("file_id", F.coalesce(F.floor(F.col("page_id") / file_records), lone).cast("long")).withColumn("run", F.substring("digest", 1, 2))
+    per = held.groupBy("file_id", "page_id", "run").agg(F.sum("length").alias("n"))
+    before = Window.partitionBy("file_id").orderBy("page_id", "run").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(F.col("file_id").alias("f2"), F.col("page_id").alias("p2"), F.col("run").alias("r2"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("file_id", "page_id", "run").orderBy("digest").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.withColumn("within", F.coalesce(F.sum("length").over(inside), F.lit(0)))
+    out = held.join(per, (F.col("file_id") == F.col("f2")) & F.col("page_id").eqNullSafe(F.col("p2")) & (F.col("run") == F.col("r2")))
+    return out.select("page_id", *keep, "file_id", "length", "digest", (F.col("base") + F.col("within")).alias("at"))
+
+
+def heights(a: DataFrame, b: DataFrame, range_bytes: int = RANGE, fanout: int = FANOUT, least: int = LEVELS) -> DataFrame:
+    """(file_id, ha, hb, h): the levels above the leaves that each replica's file wants, and the greater.
+
+    A file has LEVELS levels, or as many more as bring its ranges to one root.
+    """
+    def of(df: DataFrame, name: str) -> DataFrame:
+        last = df.groupBy("file_id").agg(F.max("at").alias("last"))
+        leaves, want = F.floor(F.col("last") / range_bytes) + 1, F.lit(least)
+        for n in range(least, 40):
+            if fanout**n >= 1 << 62:
+                break
+            want = F.when(leaves > F.lit(fanout**n).cast("long"), n + 1).otherwise(want)
+        return last.select("file_id", want.alias(name))
+
+    both = of(a, "ha").join(of(b, "hb"), "file_id", "full_outer")
+    return both.withColumn("h", F.greatest(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))))
+
+
+def tree(records: DataFrame, height: DataFrame, own: str, range_bytes: int = RANGE, fanout: int = FANOUT) -> tuple[list[DataFrame], DataFrame]:
+    """([leaves, ..., top], roots) as (file_id, node, hash) tables of records (file_id, at, length,
+    digest). Levels go up to the file's h; its root is its only node at the height `own`."""
     line = F.concat_ws(":", F.lpad(F.col("at").cast("string"), 20, "0"), F.col("length").cast("string"), "digest")
     level = records.groupBy("file_id", F.floor(F.col("at") / range_bytes).alias("node")).agg(_sealed(line))
-    out = [materialize(level, "leaves")]
-    for _ in range(levels):
+    out, roots = [materialize(level, "leaves")], None
+    top = height.agg(F.max("h")).first()[0] or 0
+    for n in range(1, top + 1):
         line = F.concat_ws(":", F.lpad(F.col("node").cast("string"), 20, "0"), "hash")
-        out.append(materialize(out[-1].groupBy("file_id", F.floor(F.col("node") / fanout).alias("up")).agg(_sealed(line)).withColumnRenamed("up", "node"), "nodes"))
-    return out
+        below = out[-1] if n <= LEVELS else out[-1].join(height.where(F.col("h") >= n).select("file_id"), "file_id", "left_semi")
+        out.append(materialize(below.groupBy("file_id", F.floor(F.col("node") / fanout).alias("up")).agg(_sealed(line)).withColumnRenamed("up", "node"), "nodes"))
+        if n >= LEVELS:
+            mine = out[-1].join(height.where(F.col(own) == n).select("file_id"), "file_id", "left_semi").select("file_id", "hash")
+            roots = mine if roots is None else roots.unionByName(mine)
+    return out, roots if roots is not None else out[0].select("file_id", "hash").limit(0)
 
 
 def _sealed(line: Column) -> Column:
     return F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("hash")
 
 
-def depth(records: DataFrame, range_bytes: int = RANGE, fanout: int = FANOUT, least: int = LEVELS) -> int:
-    """Levels above the leaves that bring every file to one root."""
-    last = records.agg(F.max("at")).first()[0] or 0
-    leaves, n = last // range_bytes + 1, 0
-    while fanout**n < leaves:
-        n += 1
-    return max(n, least)
-
-
 def _differing(a: DataFrame, b: DataFrame) -> DataFrame:
     x, y = a.withColumnRenamed("hash", "ha"), b.withColumnRenamed("hash", "hb")
     return x.join(y, ["file_id", "node"], "full_outer").where(~F.col("ha").eqNullSafe(F.col("hb"))).select("file_id", "node")
@@ -81,14 +108,23 @@ def audit(a: DataFrame, b: DataFrame, range_bytes: int = RANGE, fanout: int = FA
     prepare(a.sparkSession)
     one = lambda df: df.groupBy("file_id", "at").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", F.col("length").cast("string"), "digest"))), ",").alias("digest"), F.sum("length").alias("length"))
     a, b = one(a), one(b)
-    levels = max(depth(a, range_bytes, fanout), depth(b, range_bytes, fanout))
-    ta, tb = tree(a, levels, range_bytes, fanout), tree(b, levels, range_bytes, fanout)
-    roots = ta[-1].select("file_id", F.col("hash").alias("root")).join(tb[-1].select("file_id", F.col("hash").alias("replica_root")), "file_id", "full_outer")
-    bad = materialize(_differing(ta[-1], tb[-1]), "differing")
-    for x, y in zip(ta[-2::-1], tb[-2::-1], strict=True):
-        parents = bad.withColumnRenamed("node", "up")
-        child = lambda df, parents=parents: df.withColumn("up", F.floor(F.col("node") / fanout)).join(parents, ["file_id", "up"], "left_semi").drop("up")
-        bad = materialize(_differing(child(x), child(y)), "differing")
+    height = materialize(heights(a, b, range_bytes, fanout), "heights")
+    (ta, ra), (tb, rb) = tree(a, height, "ha", range_bytes, fanout), tree(b, height, "hb", range_bytes, fanout)
+    roots = ra.withColumnRenamed("hash", "root").join(rb.withColumnRenamed("hash", "replica_root"), "file_id", "full_outer")
+    bad = None
+    for n in range(len(ta) - 1, -1, -1):
+        whole = height.where(F.col("h") == n).select("file_id")
+        parents = bad.withColumnRenamed("node", "up") if bad is not None else None
+
+        def looked_at(df: DataFrame, n=n, whole=whole, parents=parents) -> DataFrame:
+            """The top nodes of the files that are so high, and the children of nodes that differ."""
+            out = df.join(whole, "file_id", "left_semi") if n >= LEVELS or parents is None else None
+            if parents is None:
+                return out
+            child = df.withColumn("up", F.floor(F.col("node") / fanout)).join(parents, ["file_id", "up"], "left_semi").drop("up")
+            return child if out is None else out.unionByName(child)
+
+        bad = materialize(_differing(looked_at(ta[n]), looked_at(tb[n])), "differing")
     ranges = bad.withColumnRenamed("node", "leaf")
     inside = lambda df: df.withColumn("leaf", F.floor(F.col("at") / range_bytes)).join(ranges, ["file_id", "leaf"], "left_semi").select("file_id", "at", "length", "digest")
     x = inside(a).withColumnsRenamed({"length": "la", "digest": "da"})
