@@ -14,16 +14,17 @@ anchor and only anchors that several documents share go on:
    that are still equal. Neighbours equal to LENGTH bytes are repeats; the least document keeps them.
 4. cut: the ranges meet their documents.
 
-Each phase ends in a table in the shared folder; the anchors' goes once the contexts stand. A task holds a bucket, never a whole key of the corpus.
+Each phase ends in a table in the shared folder; the anchors' goes once the contexts stand. A task holds a bucket; of an
+anchor it holds the different contexts that are left when each bucket of documents has settled its own.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +35,13 @@ WINDOW = LENGTH - GRAM + 1
 #: Bytes of text in a task's bucket, in a batch that settles its own repeats, and hashed at once.
 BUCKET_BYTES, BATCH_BYTES, CHUNK_BYTES = 4 << 20, 12 << 20, 1 << 17
 LAST = (1 << 63) - 1
-#: h: hash; d, f: a row's id and text check, which tell rows apart; p: position; a, z: from the first and
+#: h: hash; d, f: a row's id and text hash, which tell rows apart (rows equal in both are one text); p: position; a, z: from the first and
 #: last start to the anchor; e: end of a range.
-FIELDS = {"h": "<u8", "d": "<i8", "f": "<u4", "p": "<u4", "a": "u1", "z": "u1", "e": "<u4"}
+FIELDS = {"h": "<u8", "d": "<i8", "f": "<i8", "p": "<u4", "a": "u1", "z": "u1", "e": "<u4"}
+
+
+def text_hash(raw: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(raw) - (1 << 63)
 
 
 # --- packing ---------------------------------------------------------------------------------------
@@ -273,7 +278,7 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
                     ends = np.cumsum([len(texts[k]) for k in own])
                     h, k, p, first, last = anchors(np.frombuffer(b"".join(texts[x] for x in own), np.uint8), ends, np.arange(len(own)))
                     base = np.r_[0, ends[:-1]][k]
-                    check = np.array([zlib.crc32(texts[x]) for x in own], np.uint32)
+                    check = np.array([text_hash(texts[x]) for x in own], np.int64)
                     held.append((h, ids[np.array(own)][k], check[k], p - base, (p - first).astype(np.uint8), (p - last).astype(np.uint8)))
                     size += n
                 i = j
@@ -314,7 +319,7 @@ def contexts(docs: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
         for d, t in zip(texts["d"].to_pylist(), texts["t"].to_pylist(), strict=True):
             if d in wanted:
                 raw = t.encode("utf-8", "surrogatepass")
-                raws[d, zlib.crc32(raw)] = raw
+                raws[d, text_hash(raw)] = raw
         #: context -> [document, a, z, its checks, its positions]; ids ascend, so the first has the least
         seen: dict[bytes, list] = {}
         settled: list[tuple[int, int, int, int]] = []
@@ -457,7 +462,7 @@ def cut(docs: DataFrame, ranges: DataFrame) -> DataFrame:
             raw = t.encode("utf-8", "surrogatepass")
             i, j = np.searchsorted(ds, d, "left"), np.searchsorted(ds, d, "right")
             if i < j:
-                check = zlib.crc32(raw)
+                check = text_hash(raw)
                 i, j = i + np.searchsorted(fs[i:j], check, "left"), i + np.searchsorted(fs[i:j], check, "right")
             if i == j:
                 out.append((d, len(raw), 0, 0, raw))
