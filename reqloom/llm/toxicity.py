@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare
+from .common import materialize, prepare
 
 SAMPLE_ROWS, TERMS, GRADES, SEED = 20_000, 512, 3, 11
 #: Words or features that a worker keeps at a time.
@@ -89,14 +89,16 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int = GRADES, l2: float =
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, terms: int = TERMS, grades: int = GRADES) -> OrdinalModel:
     """Fits the model on docs (doc_id, text) with labels (doc_id, toxic 0/1).
 
-    Labels with a null id or value are ignored; of repeated ids the highest label counts. Without both
-    toxic and other texts nothing can be learnt and the model rejects nothing.
+    Labels with a null id or value are ignored; of repeated ids the highest label counts, of a repeated
+    document the least text. Without both toxic and other texts nothing can be learnt and the model
+    rejects nothing. The sample is a table of its own, so that the corpus is read once for it.
     """
     prepare(docs.sparkSession)
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(sample_rows)
-    # at most sample_rows pairs of numbers
-    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("toxic", "text")
+    # at most sample_rows pairs of numbers; of several texts of an id one counts, so the sample is as small
+    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sample = materialize(sample.select("toxic", "text"), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = {0: Counter(), 1: Counter()}, Counter()
