@@ -114,11 +114,17 @@ def test_minhash_near_duplicates(spark, words):
             for _ in range(edits):
                 u[r.randrange(120)] = "edited"
             texts.append(" ".join(u))
-    texts += [texts[0], None, "", "a b"]
+    texts += [texts[0], None, "", "a b", "A b"]
     sh = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for t in texts]
     pairs = [(i, j) for i in range(len(texts)) for j in range(i) if (texts[i] or "") == (texts[j] or "") or (sh[i] and sh[j] and len(sh[i] & sh[j]) >= 0.8 * len(sh[i] | sh[j]))]
-    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    df = spark.createDataFrame([(i, t, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, set string, k int")
+    got = {r["doc_id"]: r["component"] for r in minhash.groups(df, lower=False).collect()}
     assert [got[i] for i in range(len(texts))] == groups_of(len(texts), pairs)
+    # a family larger than a band that is compared as pairs
+    base = words(200, 10**6).split()
+    family = [" ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in range(0, 200, 5)]
+    got = minhash.groups(spark.createDataFrame(list(enumerate(family)), "doc_id long, text string")).collect()
+    assert len(got) == len(family) > minhash.PAIRED and {r["component"] for r in got} == {0}
 
 
 def test_components_of_long_chains(spark):
@@ -167,5 +173,23 @@ def test_embeddings_against_brute_force(spark, small, block):
     assert all(x["kept"] == (x["component_id"] == x["vec_id"]) for x in got.values())
 
 
+def test_embeddings_awkward(spark):
+    """Repeated rows, null ids and clashing columns; vectors of several lengths."""
+    v, w = [1.0, 0.0, 0.0], [0.99, 0.05, 0.0]
+    rows = [(1, v), (1, v), (2, w), (None, v), (3, [0.0, 1.0]), (4, [0.0, 2.0]), (5, [1e-300, 1e300]), (6, [float("inf"), 1.0]), (7, None)]
+    df = spark.createDataFrame([(k, x, "n", "b", "c") for k, x in rows], "vec_id long, embedding array<double>, node string, bucket string, code string")
+    got = sorted(map(repr, [(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embeddings.groups(df).collect()]))
+    assert got == sorted(map(repr, [(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (None, 3, 1, None), (3, 2, 3, True), (4, 2, 3, False), (5, 2, 3, False), (6, 0, 6, True), (7, 0, 7, True)]))
+
+
+def test_embeddings_index_grows_with_the_table():
+    assert embeddings.size_of_index(50_000) == (8, 20)
+    for n in (10**5, 10**7, 10**9):
+        bits, tables = embeddings.size_of_index(n)
+        assert n / 2**bits <= embeddings.BLOCK / 4
+        agree = (1 - math.acos(0.9) / math.pi) ** bits
+        assert (1 - agree) ** tables <= embeddings.MISSED
+
+
 def test_embeddings_empty(spark):
     assert embeddings.groups(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reqloom.llm import mixing, secrets, suffixdedup, toxicity, urlfilter, warc
+import plain
 from llm_checks import AWKWARD
 
 KEY = "AKIA" + "Q" * 16
@@ -49,10 +50,33 @@ def test_secret_ledger(spark):
 
 
 def test_secrets_awkward(awkward, nothing):
-    assert secrets.report(awkward, secrets.scan(awkward)[0]).count() == awkward.count()
+    got = [(r["doc_id"], r["spans"]) for r in secrets.report(awkward, secrets.scan(awkward)[0]).collect()]
+    want = [(r["doc_id"], ",".join(f"{k}:{s}:{e}" for k, s, e in plain.secret_spans(r["text"]))) for r in awkward.collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
     assert secrets.report(nothing, secrets.scan(nothing)[0]).count() == 0
 
 
+def test_secrets_one_scan_after_another(spark, docs):
+    """The second scan takes the pairs only that the first had not, and both together find all."""
+    texts = [*SECRETS, *[r["text"] for r in docs.limit(60).collect()], "x ghp_" + "A" * 40 + f" y {KEY}" * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    findings, ledger = secrets.follow(df, (secrets.BASE, secrets.RULES))
+    scanned = [tuple(r["rules"]) for r in ledger.collect()]
+    blobs = len({t or "" for t in texts})
+    assert sorted(scanned) == sorted([tuple(sorted(r.key for r in secrets.BASE))] * blobs + [tuple(sorted(r.key for r in secrets.MORE))] * blobs)
+    assert secrets.scan(df, ledger)[1].count() == 0
+    got = {r["doc_id"]: r["spans"] for r in secrets.report(df, findings).collect()}
+    assert got == {i: ",".join(f"{k}:{s}:{e}" for k, s, e in plain.secret_spans(t)) for i, t in enumerate(texts)}
+
+
+def test_redaction(spark):
+    texts = [*SECRETS, f"{KEY}{KEY} password={KEY} x", f"a {KEY}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = secrets.findings_by_path(df, secrets.scan(df)[0])
+    got = {r["doc_id"]: r["t"] for r in held.select("doc_id", secrets.redact(F.col("text"), F.col("spans")).alias("t")).collect()}
+    assert got == {i: None if t is None else plain.masked(t) for i, t in enumerate(texts)}
+
+
 def brute_removal(rows, n=50):
     raws = [(k, (t or "").encode()) for k, t in rows]
     first = {}
@@ -86,10 +110,15 @@ def test_suffix_removal(spark, docs, words, bucket):
     assert have == brute_removal(rows)
 
 
-def test_suffix_awkward(awkward, nothing):
-    got = suffixdedup.remove_repeats(awkward)
-    assert got.count() == awkward.count() and suffixdedup.remove_repeats(nothing).count() == 0
-    assert {r["n_removed"] for r in got.where("doc_id = 6").collect()} == {0}
+def test_suffix_awkward(spark, awkward, nothing, words):
+    a, b = words(30), words(30)
+    own = [(500, f"{a} {b}", "one"), (500, f"{b} only", "two"), (500, f"{a} {b}", "one"), (501, f"{b} x", ""), (None, f"{a} y", ""), (None, f"y {a}", ""), (499, f"z {b}", "")]
+    rows = [(r["doc_id"], r["text"]) for r in awkward.collect()] + [r[:2] for r in own]
+    df = awkward.select("doc_id", "text", "t").unionByName(spark.createDataFrame(own, "doc_id long, text string, t string"))
+    got = suffixdedup.remove_repeats(df).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    want = brute_removal([(1 << 62 if k is None else k, t) for k, t in rows])
+    assert sorted(map(tuple, [(1 << 62 if r[0] is None else r[0], *r[1:]) for r in got])) == want
+    assert suffixdedup.remove_repeats(nothing).count() == 0
 
 
 def test_deep_shallow_order():
@@ -116,17 +145,59 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r["e"] <= toxicity.GRADES for r in got) and list(model.thresholds) == sorted(model.thresholds)
 
 
+def test_toxicity_against_plain_python(spark, docs, small):
+    """Terms, scores, grades and verdicts of the whole table; the fit has no better neighbour."""
+    import numpy as np
+
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    m = toxicity.train(d, labels)
+    text = {r["doc_id"]: r["text"] for r in d.select("doc_id", "text").collect()}
+    known = [(r["toxic"], text[r["doc_id"]]) for r in labels.collect() if r["doc_id"] in text]
+    assert set(m.weights) == set(plain.toxic_terms(known)) and len(m.weights) > 5
+    for r in toxicity.predict(d, m).collect():
+        e, grade, toxic = plain.severity(m.weights, m.thresholds, m.reject, r["text"])
+        assert (r["grade"], r["toxic"]) == (grade, toxic) and abs(r["expected_severity"] - e) < 1e-6
+
+    rng = random.Random(5)
+    xs = [sorted(rng.sample(range(6), rng.randrange(4))) for _ in range(300)]
+    ys = [min(3, max(0, sum((1.5, 0.8, 0.3, -0.5, 1.0, 0.1)[i] for i in x) + rng.gauss(0, 1) > 0) + (len(x) > 2) + (rng.random() < 0.3)) for x in xs]
+    x = np.zeros((300, 6))
+    for i, at in enumerate(xs):
+        x[i, at] = 1
+    w, t = toxicity.fit_ordinal(x, np.array(ys), 3, l2=0.0, steps=3000, rate=0.05)
+    best = plain.log_likelihood(w, t, xs, ys)
+    assert list(t) == sorted(t)
+    for i in range(9):
+        for step in (0.05, -0.05):
+            p = np.r_[w, t]
+            p[i] += step
+            if list(p[6:]) == sorted(p[6:]):
+                assert plain.log_likelihood(p[:6], p[6:], xs, ys) <= best + 1e-9
+
+
+def test_toxicity_sample_is_bounded(spark, tmp_path):
+    """Repeated documents do not make the sample larger; the model of one text an id is the same."""
+    rows = [(i, ("bad stuff here" if i % 4 == 0 else "fine text") + f" {i}") for i in range(80)]
+    labels = spark.createDataFrame([(i, 0, int(i % 4 == 0)) for i in range(80)], "doc_id long, quality int, toxic int")
+    once = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    again = toxicity.train(spark.createDataFrame(rows * 3 + [(4, "zzz")], "doc_id long, text string"), labels)
+    assert once == again and {"bad", "stuff"} & set(once.weights)
+
+
 def test_toxicity_awkward(spark, awkward, nothing):
     labels = spark.createDataFrame([(5, 0, 1), (6, 1, 0), (None, 1, 1), (7, 0, None)], "doc_id long, quality int, toxic int")
     model = toxicity.train(awkward, labels)
-    assert toxicity.predict(awkward, model).count() == awkward.count() and toxicity.predict(nothing, model).count() == 0
+    got = [(r["doc_id"], r["grade"], r["toxic"], round(r["expected_severity"], 6)) for r in toxicity.predict(awkward, model).collect()]
+    want = [(r["doc_id"], *[f(x) for f, x in zip((int, bool, lambda x: round(x, 6)), [plain.severity(model.weights, model.thresholds, model.reject, r["text"])[i] for i in (1, 2, 0)])]) for r in awkward.collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and toxicity.predict(nothing, model).count() == 0
     none = toxicity.train(awkward, labels.limit(0))
     assert not any(r["toxic"] for r in toxicity.predict(awkward, none).collect())
 
 
 def test_mixing(spark, awkward, nothing, words):
     sizes = {"a": 30, "b": 300, None: 40, "c": 5}
-    rows = [(i * 10 + j, words(40 + j), s) for i, (s, n) in enumerate(sizes.items()) for j in range(n // 5)] + [(999, None, "a"), (999, "", "a")]
+    rows = [(i * 1000 + j, words(40 + j), s) for i, (s, n) in enumerate(sizes.items()) for j in range(n // 5)] + [(999, None, "a"), (999, "", "a")]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=16).collect()
     assert len(got) == len(rows) and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
     total = sum(r["size"] for r in got)
@@ -134,7 +205,27 @@ def test_mixing(spark, awkward, nothing, words):
         mine = [r for r in got if r["source"] == s]
         assert sum(r["taken"] for r in mine) == int(mine[0]["target"]) <= 2 * mine[0]["source_size"] == 2 * sum(r["size"] for r in mine)
     assert abs(sum({r["source"]: r["target"] for r in got}.values()) - 1.5 * total) < 1e-6 * total
-    assert mixing.mix(awkward).count() == awkward.count() and mixing.mix(nothing).count() == 0
+    want = {}
+    for slot, k, _, n, slots in plain.mix(rows, block=16):
+        first, taken, held = want.get(k, (slot, 0, 0))
+        want[k] = (min(first, slot), taken + n, held + slots)
+    assert {r["doc_id"]: (r["first_slot"], r["taken"], r["n_slots"]) for r in got if r["taken"]} == want
+    assert all((r["first_slot"], r["n_slots"]) == (None, 0) for r in got if not r["taken"])
+    assert mixing.mix(nothing).count() == 0
+
+
+def test_mixing_awkward_and_again(awkward):
+    got = sorted(map(repr, mixing.mix(awkward).collect()))
+    assert got == sorted(map(repr, mixing.mix(awkward.repartition(5)).collect()))  # reruns agree
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in awkward.collect()]
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(plain.WORD.findall(t or ""))
+    target = plain.goals(sizes)
+    out = mixing.mix(awkward).collect()
+    assert sorted((repr(r["doc_id"]), r["size"], r["source_size"], r["target"]) for r in out) == sorted((repr(k), len(plain.WORD.findall(t or "")), sizes[s], target[s]) for k, t, s in rows)
+    for s in sizes:
+        assert sum(r["taken"] for r in out if r["source"] == s) == int(target[s])
 
 
 def test_schedule_is_even(spark):
@@ -179,6 +270,46 @@ def test_warc_audit(spark):
     assert warc.audit(empty, empty)[1].count() == 0
 
 
+def plain_root(records, height, range_bytes, fanout):
+    sha = lambda lines: hashlib.sha256("\n".join(sorted(lines)).encode()).hexdigest()
+    level = {}
+    for at, n, d in records:
+        level.setdefault(at // range_bytes, []).append(f"{at:020d}:{n}:{n}:{d}")
+    level = {k: sha(v) for k, v in level.items()}
+    for _ in range(height):
+        up = {}
+        for k, h in level.items():
+            up.setdefault(k // fanout, []).append(f"{k:020d}:{h}")
+        level = {k: sha(v) for k, v in up.items()}
+    assert len(level) == 1
+    return level[0]
+
+
+def test_warc_root_is_the_files_own(spark):
+    """A file's root does not depend on which other files there are, nor on the other replica."""
+    schema = "file_id string, at long, length long, digest string"
+    small = [("s", i * 100, 100, f"d{i}") for i in range(30)]
+    large = [("l", i * 100, 100, f"e{i}") for i in range(700)]
+    a = spark.createDataFrame(small + large, schema)
+    b = spark.createDataFrame(small + large[:-1] + [("l", 69_900, 90, "zz")], schema)
+    roots, faults = warc.audit(a, b, range_bytes=100, fanout=4)
+    got = {r["file_id"]: (r["root"], r["replica_root"]) for r in roots.collect()}
+    assert got["s"] == (plain_root([r[1:] for r in small], 3, 100, 4),) * 2 and got["l"][0] == plain_root([r[1:] for r in large], 5, 100, 4) != got["l"][1]
+    assert [tuple(r) for r in faults.collect()] == [("l", 69_900, "corrupt")]
+    alone = warc.audit(spark.createDataFrame(small, schema), spark.createDataFrame(small[:5], schema), range_bytes=100, fanout=4)[0].first()
+    assert alone["root"] == got["s"][0] and alone["replica_root"] == plain_root([r[1:] for r in small[:5]], 3, 100, 4)
+
+
 def test_warc_layout_awkward(spark):
-    pages = spark.createDataFrame([(1, None, None), (1, None, None), (None, "u", "h"), (2, "u", "é" * 1000)], "page_id long, url string, html string")
-    assert warc.layout(pages).count() == 4 and warc.layout(pages.limit(0)).count() == 0
+    pages = [(1, None, None), (1, None, None), (1, "a", "b" * 300), (None, "u", "h"), (None, "u", "h"), (None, "v", "h" * 70_000), (2, "u", "é" * 1000), (700, "", "")]
+    df = spark.createDataFrame([(*p, "x", 0) for p in pages], "page_id long, url string, html string, digest_of string, n int")
+    got = warc.layout(df).collect()
+    record = lambda p: f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:{'' if p[0] is None else p[0]}>\r\nWARC-Target-URI: {p[1] or ''}\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len((p[2] or '').encode())}\r\n\r\n{p[2] or ''}\r\n\r\n".encode()
+    assert sorted((repr(r["page_id"]), r["length"], r["digest"]) for r in got) == sorted((repr(p[0]), len(record(p)), hashlib.sha256(record(p)).hexdigest()) for p in pages)
+    for f in {r["file_id"] for r in got}:
+        mine = sorted((r for r in got if r["file_id"] == f), key=lambda r: r["at"])
+        assert [r["at"] for r in mine] == [sum(x["length"] for x in mine[:i]) for i in range(len(mine))]
+        assert [(r["page_id"] or 0, r["digest"]) for r in mine] == sorted((r["page_id"] or 0, r["digest"]) for r in mine)
+    assert {r["file_id"] for r in got} == {-1, 0, 1} and warc.layout(df.limit(0)).count() == 0
+    many = warc.layout(df, file_records=1).collect()
+    assert sum(r["file_id"] < 0 for r in many) == 3 and min(r["file_id"] for r in many) < -1
