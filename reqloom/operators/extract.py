@@ -21,7 +21,7 @@ class Extractor(Protocol):
     def extract(self, df: DataFrame, text: str, idx: str) -> DataFrame: ...
 
 
-_MODAL = r"(?i)\b(?:" + "|".join(MODALITIES) + r")\b"
+_MODAL = r"(?Ui)\b(?:" + "|".join(MODALITIES) + r")\b"
 
 
 def structure(t: Column) -> Column:
@@ -29,23 +29,28 @@ def structure(t: Column) -> Column:
     none = X.make_span(t, F.lit(0), F.lit(0))
 
     def parts(p):
-        modal, after, cond = p["modal"], p["after"], p["cond"]
-        left = F.when(cond["present"] & (cond["start"] == 0), F.least(cond["end"] + 2, F.length(t))).otherwise(F.lit(0))
+        cond, left = p["cond"], p["left"]
+        # the modal word of the main clause: the first one after a condition that opens the text
+        main = lambda found: F.get(F.filter(found, lambda m: m["start"] >= left), F.lit(0))
+        modal, after = main(p["modals"]), main(p["afters"])
         start, end = F.coalesce(modal["start"], F.lit(0)), F.coalesce(after["end"], modal["end"], F.lit(0))
         subject = F.when(start > left, X.make_span(t, left, start - 1)).otherwise(none)
         action = F.when(modal.isNotNull(), X.make_span(t, start, end)).otherwise(none)
         rest = F.when(end < F.length(t), X.make_span(t, end + 1, F.length(t))).otherwise(none)
         return F.struct(subject.alias("subject"), X.modality(t).alias("modality"), cond.alias("condition"), action.alias("action"), rest.alias("object"))
 
-    first = lambda pattern: F.get(X.matches(t, pattern), F.lit(0))
-    return X.let(F.struct(first(_MODAL).alias("modal"), first(_MODAL + r"(?:\s+not)?\s+\w+").alias("after"), X.condition(t).alias("cond")), parts)
+    def with_left(cond):
+        left = F.when(cond["present"] & (cond["start"] == 0), F.least(cond["end"] + 2, F.length(t))).otherwise(F.lit(0))
+        return F.struct(X.matches(t, _MODAL).alias("modals"), X.matches(t, _MODAL + r"(?:\s+not)?\s+\w+").alias("afters"), cond.alias("cond"), left.alias("left"))
+
+    return X.let(X.let(X.condition(t), with_left), parts)
 
 
 def attribute(t: Column, start: Column) -> Column:
-    """The nearest word group before the evidence that starts without a digit."""
+    """Of the word groups that stand before a modal word, the nearest one before the evidence."""
     before = X.clean_text(F.substr(t, F.lit(1), start))
-    word = F.regexp_extract(before, r"((?:\b(?:a|an|the)\s+)?\b[a-z]+)\s+(?:shall|must|should|may|will|is)\b", 1)
-    return X.let(word, lambda w: F.when(w == "", "quantitative attribute").otherwise(w))
+    words = F.regexp_extract_all(before, F.lit(r"(?U)((?:\b(?:a|an|the)\s+)?\b[a-z]+)\s+(?:" + "|".join(MODALITIES) + r")\b"), F.lit(1))
+    return F.coalesce(F.try_element_at(words, F.lit(-1)), F.lit("quantitative attribute"))
 
 
 def _constraint(i: Column, op: Column, start: Column, end: Column, t: Column, snippet: Column, value: Column, ref: Column) -> Column:

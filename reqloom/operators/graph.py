@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from reqloom import vocab as V
 from reqloom.functions.text import local_name
-from reqloom.operators.iterate import checkpointed, fixpoint
+from reqloom.operators.iterate import checkpointed, components, fixpoint
 
 KEY = ["graph_id", "s", "p", "o", "o_kind"]
 
@@ -129,14 +129,13 @@ def minimal(records: DataFrame) -> DataFrame:
 def enrich(t: DataFrame, rows: DataFrame) -> DataFrame:
     """Writes normalized rows (graph_id, node, unit, kind, lower, ...) on their value nodes: types, one
     unit with its kind, kinds off the node, numbers replaced by bounds. Graphs without rows lose what
-    they have of quantities."""
-    idle = t.select("graph_id").distinct().join(rows.select("graph_id").distinct(), "graph_id", "left_anti")
-    nodes = rows.select("graph_id", F.col("node").alias("s")).distinct()
-    with_unit = rows.where("unit IS NOT NULL").select("graph_id", F.col("node").alias("s")).distinct()
-    out = delete(t, nodes.withColumn("p", F.lit(V.QUDT + "hasQuantityKind")))
-    out = delete(out, with_unit.withColumn("p", F.lit(V.QUDT + "unit")))
-    numbers = nodes.withColumn("p", F.explode(F.array(*[F.lit(p) for p in V.NUMERIC_PREDICATES])))
-    out = delete(out, numbers)
+    they have of quantities. Each triple meets its subject's marks once and is kept or not."""
+    t, rows = checkpointed(t.select(KEY), "triples"), checkpointed(rows, "rows")
+    marks = rows.groupBy("graph_id", F.col("node").alias("s")).agg(F.max(F.col("unit").isNotNull()).alias("with_unit"))
+    active = rows.select("graph_id").distinct()
+    gone = (F.col("p") == V.QUDT + "hasQuantityKind") | (F.col("p") == V.QUDT + "unit") & F.col("with_unit") | F.col("p").isin(*V.NUMERIC_PREDICATES)
+    kept = t.join(active, "graph_id", "left_semi").join(marks, ["graph_id", "s"], "left").where(F.col("with_unit").isNull() | ~gone)
+    idle = _stripped(t.join(active, "graph_id", "left_anti"))
     node = F.col("node")
     unit = F.col("unit").isNotNull()
     made = [
@@ -147,17 +146,19 @@ def enrich(t: DataFrame, rows: DataFrame) -> DataFrame:
         *bound_triples(node, F.col("lower"), F.col("upper"), F.col("lower_included"), F.col("upper_included"), F.col("value")),
     ]
     new = rows.select("graph_id", F.explode(F.array_compact(F.array(*made))).alias("t")).select("graph_id", "t.*")
-    return insert(strip_quantities(out, idle), new)
+    return insert(kept.select(KEY).unionByName(idle.select(KEY)), new)
 
 
-def strip_quantities(t: DataFrame, graphs: DataFrame) -> DataFrame:
-    """In the given graphs: no value nodes, value predicates or predicates of the quantity vocabulary."""
-    mine = t.join(graphs, "graph_id", "left_semi")
+def _stripped(mine: DataFrame) -> DataFrame:
+    """No value nodes, value predicates or predicates of the quantity vocabulary."""
     nodes = value_nodes(mine)
-    kept = delete(mine, nodes)
-    kept = delete(kept, nodes.withColumnRenamed("s", "o"))
-    kept = kept.where(~F.col("p").isin(*V.VALUE_PREDICATES) & ~F.col("p").startswith(V.QUDT))
-    return t.join(graphs, "graph_id", "left_anti").select(KEY).unionByName(kept.select(KEY))
+    kept = mine.where(~F.col("p").isin(*V.VALUE_PREDICATES) & ~F.col("p").startswith(V.QUDT))
+    return delete(delete(kept, nodes), nodes.withColumnRenamed("s", "o"))
+
+
+def strip_quantities(t: DataFrame, graphs: DataFrame) -> DataFrame:
+    """The given graphs without their quantities, the others as they are."""
+    return t.join(graphs, "graph_id", "left_anti").select(KEY).unionByName(_stripped(t.join(graphs, "graph_id", "left_semi")).select(KEY))
 
 
 def specification_nodes(t: DataFrame) -> DataFrame:
@@ -199,26 +200,40 @@ def fix_design(t: DataFrame) -> DataFrame:
 CHECKS = {"C01": "error", "C02": "error", "C03": "error", "C04": "error", "C05": "error", "C06": "error"}
 
 
+def _flags(t: DataFrame, **tests: Column) -> DataFrame:
+    """(graph_id, s, one boolean for each test): whether a triple of the subject passes it. One grouped
+    pass, with partial sums before the shuffle, and a table that all checks read."""
+    return checkpointed(t.groupBy("graph_id", "s").agg(*[F.bool_or(F.coalesce(c, F.lit(False))).alias(k) for k, c in tests.items()]), "flags")
+
+
+def _is_a(*names: str) -> Column:
+    return (F.col("p") == V.TYPE) & F.col("o").isin(*names)
+
+
+def _with_ends(edges: DataFrame, flags: DataFrame, subject: list[str], obj: list[str]) -> DataFrame:
+    """edges (graph_id, s, p, o) with flags of both ends; an object that is no subject has none."""
+    at_o = flags.select("graph_id", F.col("s").alias("o"), *[F.col(k).alias("o_" + k) for k in obj])
+    both = edges.join(flags.select("graph_id", "s", *subject), ["graph_id", "s"]).join(at_o, ["graph_id", "o"], "left")
+    return both.withColumns({"o_" + k: F.coalesce("o_" + k, F.lit(False)) for k in obj})
+
+
 def conformance(t: DataFrame) -> DataFrame:
-    """(graph_id, check_id, node, other), a row for each binding of the six structural checks."""
-    typed = lambda name: of(t, V.TYPE, name)
-    sat = of(t, V.IOF + "requirementSatisfiedBy")
-    spec = typed(V.IOF + "RequirementSpecification")
-    value, unit = typed(V.QUDT + "QuantityValue"), of(t, V.QUDT + "unit")
-    kind = of(t, V.QUDT + "hasQuantityKind").select("graph_id", F.col("s").alias("o"))
-    plans = t.where((F.col("p") == V.TYPE) & F.col("o").isin(V.IOF + "DesignSpecification", V.IOF + "PlanSpecification")).select("graph_id", F.col("s").alias("o"))
-    linked = t.where(F.col("p").isin(V.IOF + "isValueExpressionOfAtSomeTime", V.IOF + "isValueExpressionOfAtAllTimes")).select("graph_id", "s")
-    on, none = ["graph_id", "s"], F.lit(None).cast("string")
-    parts = [
-        ("C01", sat.join(spec, on, "left_anti")), ("C02", spec.join(sat, on, "left_anti").withColumn("o", none)),
-        ("C03", sat.join(plans, ["graph_id", "o"], "left_anti")), ("C04", value.join(unit, on, "left_anti").withColumn("o", none)),
-        ("C05", value.join(unit, on).join(kind, ["graph_id", "o"], "left_anti")), ("C06", value.join(linked, on, "left_anti").withColumn("o", none)),
-    ]
-    out = None
-    for check, df in parts:
-        df = df.select("graph_id", F.lit(check).alias("check_id"), F.col("s").alias("node"), F.col("o").alias("other"))
-        out = df if out is None else out.unionByName(df)
-    return out
+    """(graph_id, check_id, node, other), a row for each binding of the six structural checks.
+
+    The triples are read twice: for the flags of each subject, and for the edges whose ends are checked.
+    """
+    t = checkpointed(t.select("graph_id", "s", "p", "o"), "triples")
+    satisfied, unit = F.col("p") == V.IOF + "requirementSatisfiedBy", F.col("p") == V.QUDT + "unit"
+    flags = _flags(
+        t, spec=_is_a(V.IOF + "RequirementSpecification"), value=_is_a(V.QUDT + "QuantityValue"), plan=_is_a(V.IOF + "DesignSpecification", V.IOF + "PlanSpecification"),
+        satisfied=satisfied, unit=unit, kind=F.col("p") == V.QUDT + "hasQuantityKind", linked=F.col("p").isin(V.IOF + "isValueExpressionOfAtSomeTime", V.IOF + "isValueExpressionOfAtAllTimes"),
+    )
+    edges = _with_ends(t.where(satisfied | unit).distinct(), flags, ["spec", "value"], ["plan", "kind"])
+    per_edge = [("C01", satisfied & ~F.col("spec")), ("C03", satisfied & ~F.col("o_plan")), ("C05", unit & F.col("value") & ~F.col("o_kind"))]
+    per_node = [("C02", F.col("spec") & ~F.col("satisfied")), ("C04", F.col("value") & ~F.col("unit")), ("C06", F.col("value") & ~F.col("linked"))]
+    found = lambda checks: F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in checks]))).alias("check_id")
+    at_edge = edges.select("graph_id", found(per_edge), F.col("s").alias("node"), F.col("o").alias("other"))
+    return at_edge.unionByName(flags.select("graph_id", found(per_node), F.col("s").alias("node"), F.lit(None).cast("string").alias("other")))
 
 
 def conformance_summary(violations: DataFrame, graphs: DataFrame) -> DataFrame:
@@ -242,35 +257,32 @@ def pattern_violations(t: DataFrame, expected: DataFrame | None = None) -> DataF
     expected: (graph_id, req_idx, constraint_idx, lower, upper) of normalized rows, for the bound checks
     on nodes named VE_req<i>_c<j>.
     """
-    on = ["graph_id", "s"]
-    nodes = value_nodes(t)
-    units = of(t, V.QUDT + "unit", obj="u")
-    have = lambda ps: t.where(F.col("p").isin(*ps)).select("graph_id", "s").distinct()
-    numeric, bound, simple = have([V.QUDT + "numericValue"]), have(V.BOUND_PREDICATES), have([V.IOF + "hasSimpleExpressionValue"])
-    with_unit = nodes.join(units, on)
-    full = with_unit.select(on).distinct()
-    used = with_unit.select("graph_id", F.col("u").alias("s")).distinct()
-    kinds = used.join(of(t, V.QUDT + "hasQuantityKind", obj="k"), on)
-    parts = [
-        ("forbidden_predicate", t.where(F.col("p").isin(V.QUDT + "lowerBoundInclusive", V.QUDT + "upperBoundInclusive")).select("graph_id", F.col("p").alias("s"))),
-        ("measured_predicate", t.where(F.col("p").isin(*V.MEASURED_PREDICATES)).select("graph_id", F.col("p").alias("s"))),
-        ("kind_on_node", nodes.join(have([V.QUDT + "hasQuantityKind"]), on, "left_semi")),
-        ("missing_unit", nodes.join(units, on, "left_anti")),
-        ("untyped_unit", used.join(of(t, V.TYPE, V.QUDT + "Unit"), on, "left_anti")),
-        ("unit_without_kind", used.join(have([V.QUDT + "hasQuantityKind"]), on, "left_anti")),
-        ("untyped_kind", kinds.select("graph_id", F.col("k").alias("s")).distinct().join(of(t, V.TYPE, V.QUDT + "QuantityKind"), on, "left_anti")),
-        ("number_and_bounds", full.join(numeric, on, "left_semi").join(bound, on, "left_semi")),
-        ("simple_and_number", full.join(numeric.union(bound).distinct(), on, "left_semi").join(simple, on, "left_semi")),
-    ]
+    t = checkpointed(t.select("graph_id", "s", "p", "o"), "triples")
+    has = lambda *names: F.col("p").isin(*[V.QUDT + n for n in names])
+    flags = _flags(
+        t, node=_is_a(V.IOF + "ValueExpression", V.QUDT + "QuantityValue"), unit=has("unit"), kind=has("hasQuantityKind"), number=has("numericValue"),
+        bound=F.col("p").isin(*V.BOUND_PREDICATES), simple=F.col("p") == V.IOF + "hasSimpleExpressionValue", is_unit=_is_a(V.QUDT + "Unit"), is_kind=_is_a(V.QUDT + "QuantityKind"),
+        lower=has("lowerBound", "minInclusive", "minExclusive"), upper=has("upperBound", "maxInclusive", "maxExclusive"),
+    )
+    c = F.col
+    found = lambda checks: F.explode(F.array_compact(F.array(*[F.when(w, F.lit(k)) for k, w in checks]))).alias("code")
+    full = c("node") & c("unit")
+    at_node = flags.select("graph_id", found([
+        ("kind_on_node", c("node") & c("kind")), ("missing_unit", c("node") & ~c("unit")), ("number_and_bounds", full & c("number") & c("bound")),
+        ("simple_and_number", full & (c("number") | c("bound")) & c("simple")),
+    ]), c("s").alias("node"))
+    odd = t.where(has("lowerBoundInclusive", "upperBoundInclusive") | c("p").isin(*V.MEASURED_PREDICATES))
+    at_predicate = odd.select("graph_id", F.when(c("p").isin(*V.MEASURED_PREDICATES), "measured_predicate").otherwise("forbidden_predicate").alias("code"), c("p").alias("node")).distinct()
+    used = _with_ends(t.where(has("unit")).distinct(), flags, ["node"], ["is_unit", "kind"]).where("node").select("graph_id", c("o").alias("s"), "o_is_unit", "o_kind").distinct()
+    at_unit = used.select("graph_id", found([("untyped_unit", ~c("o_is_unit")), ("unit_without_kind", ~c("o_kind"))]), c("s").alias("node"))
+    kinds = t.where(has("hasQuantityKind")).join(used.select("graph_id", "s"), ["graph_id", "s"], "left_semi").select("graph_id", c("o").alias("s")).distinct()
+    at_kind = kinds.join(flags.where("is_kind").select("graph_id", "s"), ["graph_id", "s"], "left_anti").select("graph_id", F.lit("untyped_kind").alias("code"), c("s").alias("node"))
+    out = at_node.unionByName(at_predicate).unionByName(at_unit).unionByName(at_kind)
     if expected is not None:
-        key = F.regexp_extract(F.col("s"), r"#?VE_req(\d+)_c(\d+)$", 1), F.regexp_extract(F.col("s"), r"#?VE_req(\d+)_c(\d+)$", 2)
-        named = full.withColumn("req_idx", key[0].try_cast("int")).withColumn("constraint_idx", key[1].try_cast("int")).where("req_idx IS NOT NULL").join(expected, ["graph_id", "req_idx", "constraint_idx"])
-        for code, column, kinds_ in (("missing_lower", "lower", ("lowerBound", "minExclusive", "minInclusive")), ("missing_upper", "upper", ("maxExclusive", "maxInclusive", "upperBound"))):
-            parts.append((code, named.where(F.col(column).isNotNull()).select(on).join(have([V.QUDT + k for k in kinds_]), on, "left_anti")))
-    out = None
-    for code, df in parts:
-        df = df.select("graph_id", F.lit(code).alias("code"), F.col("s").alias("node"))
-        out = df if out is None else out.unionByName(df)
+        named = flags.where(full).withColumnsRenamed({"lower": "has_lower", "upper": "has_upper"})
+        named = named.withColumn("req_idx", F.regexp_extract("s", r"#?VE_req(\d+)_c(\d+)$", 1).try_cast("int")).withColumn("constraint_idx", F.regexp_extract("s", r"#?VE_req(\d+)_c(\d+)$", 2).try_cast("int"))
+        named = named.where("req_idx IS NOT NULL").join(expected, ["graph_id", "req_idx", "constraint_idx"])
+        out = out.unionByName(named.select("graph_id", found([("missing_lower", c("lower").isNotNull() & ~c("has_lower")), ("missing_upper", c("upper").isNotNull() & ~c("has_upper"))]), c("s").alias("node")))
     return out.distinct()
 
 
@@ -278,21 +290,18 @@ def pattern_violations(t: DataFrame, expected: DataFrame | None = None) -> DataF
 
 
 def connected_part(t: DataFrame, namespace: str = V.REQ) -> DataFrame:
-    """Triples at a node that the graph's seeds reach over non-schema triples in either direction.
+    """Triples at a node that the graph's seeds reach over non-schema triples in either direction, which
+    are those of the seeds' connected components.
 
     Seeds: subjects in the namespace; a graph without seeds keeps all its non-schema triples. Literals
     aren't walked through.
     """
-    plain = checkpointed(t.where(~is_schema_for_pruning()).select(KEY).distinct())
+    plain = checkpointed(t.where(~is_schema_for_pruning()).select(KEY).distinct(), "triples")
     seeds = plain.where(F.col("s").startswith(namespace)).select("graph_id", F.col("s").alias("node")).distinct()
     iri = plain.where("o_kind != 'literal'")
-    edges = iri.select("graph_id", F.col("s").alias("a"), F.col("o").alias("b")).union(iri.select("graph_id", "o", "s")).distinct()
-    edges = checkpointed(edges)
-
-    def step(fresh: DataFrame) -> DataFrame:
-        return fresh.withColumnRenamed("node", "a").join(edges, ["graph_id", "a"]).select("graph_id", F.col("b").alias("node"))
-
-    seen = fixpoint(seeds, step)
+    parts = checkpointed(components(iri.select("graph_id", F.col("s").alias("a"), F.col("o").alias("b"))), "parts")
+    reached = parts.join(parts.join(seeds, ["graph_id", "node"], "left_semi").select("graph_id", "least").distinct(), ["graph_id", "least"], "left_semi")
+    seen = checkpointed(reached.select("graph_id", "node").unionByName(seeds).distinct(), "seen")
     at_s = plain.join(seen.withColumnRenamed("node", "s"), ["graph_id", "s"], "left_semi")
     at_o = iri.join(seen.withColumnRenamed("node", "o"), ["graph_id", "o"], "left_semi")
     bare = plain.join(seeds.select("graph_id").distinct(), "graph_id", "left_anti")

@@ -78,13 +78,46 @@ def brief(rows: DataFrame, most: int = 50) -> DataFrame:
     return numbered.where(F.col("rn") <= most).select("idx", "rn", line.alias("line"), (F.col("n") > most).alias("truncated"))
 
 
-def nearest(vectors: DataFrame, query_id: int, k: int = 10) -> DataFrame:
-    """The k vectors nearest to one by cosine, ties by id. The query's vector is a scalar subquery."""
-    q = vectors.where(F.col("vec_id") == query_id).agg(F.first("embedding")).scalar()
-    d = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    both = vectors.where(F.col("vec_id") != query_id).withColumn("q", q)
-    cosine = d(F.col("embedding"), F.col("q")) / F.sqrt(d(F.col("embedding"), F.col("embedding")) * d(F.col("q"), F.col("q")))
-    return both.select("vec_id", "label", F.round(cosine, 6).alias("cosine")).orderBy(F.col("cosine").desc(), "vec_id").limit(k)
+def nearest(vectors: DataFrame, query: Column, k: int = 10, block: int = 4096) -> DataFrame:
+    """(query_id, place, vec_id, label, cosine): for each row of vectors (vec_id, label, embedding) that
+    passes `query` the k other rows nearest by cosine (six digits, ties by id).
+
+    Queries and rows are dealt to blocks, and every two blocks meet in a task, which gives away the k best
+    of each of its queries only. Null vectors and those of length 0 are in no pair.
+    """
+    v = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v")).where("v IS NOT NULL AND exists(v, x -> x != 0) AND forall(v, x -> x IS NOT NULL)")
+    n = v.count()
+    row_blocks, query_blocks = -(-n // block) or 1, -(-v.where(query).count() // block) or 1
+    at = lambda blocks: F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    rows = v.select(at(row_blocks).alias("rb"), every(query_blocks).alias("qb"), "vec_id", "label", "v")
+    queries = v.where(query).select(every(row_blocks).alias("rb"), at(query_blocks).alias("qb"), "vec_id", "v")
+
+    def go(left, right):
+        import numpy as np
+        import pyarrow as pa
+
+        unit = lambda t: (lambda x: x / np.sqrt((x * x).sum(axis=1, keepdims=True)))(np.array(t["v"].to_pylist()))
+        out = []
+        if len(left) and len(right):
+            ids, labels, mine = left["vec_id"].to_numpy(), left["label"].to_pylist(), right["vec_id"].to_pylist()
+            cosines = np.round(unit(right) @ unit(left).T, 6)
+            for q, row in zip(mine, cosines, strict=True):
+                order = np.lexsort((ids, -row))
+                out += [(q, int(ids[i]), labels[i], float(row[i])) for i in order[: k + 1] if ids[i] != q]
+        cols = list(zip(*out, strict=True)) or [[]] * 4
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), left.schema.field("label").type, pa.float64()), strict=True)], ["query_id", "vec_id", "label", "cosine"])
+
+    label = vectors.schema["label"].dataType.simpleString()
+    met = rows.groupBy("rb", "qb").cogroup(queries.groupBy("rb", "qb")).applyInArrow(go, f"query_id long, vec_id long, label {label}, cosine double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "vec_id"))
+    return met.select("query_id", place.alias("place"), "vec_id", "label", "cosine").where(F.col("place") <= k)
+
+
+def pick_rows(found: DataFrame, rows: DataFrame, label: str = "label") -> DataFrame:
+    """found with `picked`, the label in the first place of its query, joined to the rows of that label."""
+    pick = found.where("place = 1").select("query_id", F.col(label).alias("picked"))
+    return found.join(pick, "query_id").join(rows.withColumnRenamed(label, "picked"), "picked", "left")
 
 
 class Chooser:

@@ -91,9 +91,7 @@ FIXTURES = {
     "hierarchy": """SELECT DISTINCT n_name AS child, r_name AS parent FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
         UNION SELECT r_name, 'World' FROM {region} UNION SELECT DISTINCT p_type, 'Part' FROM {part} UNION SELECT 'Part', 'Entity'
         UNION SELECT 'Entity', 'Thing' UNION SELECT 'Thing', 'Entity'""",
-    "graph_edges": """SELECT 'o' || CAST(o_orderkey AS STRING) AS a, 'c' || CAST(o_custkey AS STRING) AS b FROM {orders} WHERE o_orderkey % 3 = 0
-        UNION SELECT 'c' || CAST(c_custkey AS STRING), 'n' || CAST(c_nationkey AS STRING) FROM {customer} WHERE c_custkey % 40 < 2""",
-    "graph_edges_whole": """SELECT 'o' || CAST(o_orderkey AS STRING) AS a, 'c' || CAST(o_custkey AS STRING) AS b FROM {orders}
+    "graph_edges": """SELECT 'o' || CAST(o_orderkey AS STRING) AS a, 'c' || CAST(o_custkey AS STRING) AS b FROM {orders}
         UNION SELECT 'c' || CAST(c_custkey AS STRING), 'n' || CAST(c_nationkey AS STRING) FROM {customer}""",
     "llm_text": """SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '```turtle' || chr(10) || text || chr(10) || '```' WHEN 1 THEN 'ttl' || chr(10) || text || chr(10) || 'xml' ELSE 'note <?xml version="1.0"?><rdf:RDF/> ' || text END AS raw FROM {conversations}""",
 }

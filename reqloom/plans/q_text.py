@@ -50,28 +50,8 @@ def t02(spark, d):
     return t.select("doc_id", X.make_span(F.col("text"), (F.col("doc_id") % 7 - 2).cast("int"), (F.col("doc_id") % 23 - 4).cast("int")).alias("s")).select("doc_id", "s.*")
 
 
-_CAPS = r"\b[A-Z]{{2,}}(?:\s+[A-Z]{{2,}})+\b".replace("{{", "{").replace("}}", "}")
-
-
-def _chain(expr: str, steps) -> str:
-    for a, b in steps:
-        expr = f"regexp_replace({expr}, '{a}', '{b}', 'g')"
-    return expr
-
-
-_T03_IN = "'3 ' || substr(text, 1, 200) || ' ## FR. 3.1.2 see 1.2.3 and Figure 7 SAFE MODE a. $x 5\\% '"
-_T03 = _CLEAN.format("regexp_replace(" + _chain(f"replace(replace(replace(replace({_T03_IN}, '\\%', '%'), '$', ''), 'Â±', '+-'), '##', ' ')", ((X.SECTION.replace("'", "''"), " "), (X.DOTTED, " "), (r"(?i)\bFigure\s+\d+\b", " "), (_CAPS, " "), (r"\b[a-zA-Z]\.\s+", " "))) + r", '^\s*\d+\s+', '')")
-
-
-@query("t03_normalize_text", f"SELECT conv_id, turn, {_T03} AS t FROM conversations WHERE regexp_full_match(text, '[\\x20-\\x7e]*')")
+@query("t03_normalize_text")
 def t03(spark, d):
-    t = spark.read.parquet(f"{d}/conversations.parquet").where(r"text rlike '^[\\x20-\\x7e]*$'")
-    raw = F.concat(F.lit("3 "), F.substr("text", F.lit(1), F.lit(200)), F.lit(" ## FR. 3.1.2 see 1.2.3 and Figure 7 SAFE MODE a. $x 5\\% "))
-    return t.select("conv_id", "turn", X.normalize_text(raw).alias("t"))
-
-
-@query("t03_normalize_whole")
-def t03_whole(spark, d):
     """All turns, whole texts. DuckDB's word boundaries know ASCII only, so a test holds it."""
     t = spark.read.parquet(f"{d}/conversations.parquet")
     raw = F.concat(F.lit("3 "), F.col("text"), F.lit(" ## FR. 3.1.2 see 1.2.3 and Figure 7 SAFE MODE a. $x 5\\% "))
@@ -134,7 +114,7 @@ def x08(spark, d):
 
 @query("t15_t16_structure")
 def t15(spark, d):
-    """Subject, action, object and attribute by the heuristic; no grammar in SQL, so tests hold it."""
+    """Subject, action, object and attribute by the heuristic; no grammar in SQL, so a test holds it."""
     r = E.extract(frame(spark, d, "requirements")).where("status = 'ok'").select("idx", F.col("record.requirements")[0].alias("r"))
     return r.select("idx", F.col("r.structure.subject.text").alias("subject"), F.col("r.structure.action.text").alias("action"), F.col("r.structure.object.text").alias("object"), F.get("r.constraints", F.lit(0))["attribute"]["name"].alias("attribute"))
 
@@ -149,35 +129,23 @@ def t19(spark, d):
     return r.select("idx", F.array_join("tok", ",").alias("tokens"), X.has_number_and_unit(F.col("tok")).alias("has_unit"), X.unit_family(F.col("tok")).alias("family"))
 
 
-@query("f16_a32_unit_audit", """SELECT count(*) AS checked, count(*) FILTER (WHERE unit = 'cm') AS n_with, count(*) FILTER (WHERE unit <> 'cm') AS n_without, string_agg(CASE WHEN unit = 'cm' THEN CAST(idx AS VARCHAR) END, ',' ORDER BY idx) AS with_list FROM {requirements} WHERE idx % 97 <> 0 AND template <> 7""")
+@query("f16_a32_unit_audit", """SELECT CASE WHEN idx % 97 = 0 OR template = 7 THEN 'no_quantity' WHEN unit = 'cm' THEN 'with_unit' ELSE 'without_unit' END AS status, count(*) AS n, min(idx) AS first_idx, max(idx) AS last_idx FROM {requirements} GROUP BY status""")
 def f16(spark, d):
-    r = frame(spark, d, "requirements").where("idx % 97 != 0 AND template != 7").withColumn("hit", F.lower("original_text").rlike(r"\d cm"))
-    return r.agg(F.count("*").alias("checked"), F.count(F.when(F.col("hit"), 1)).alias("n_with"), F.count(F.when(~F.col("hit"), 1)).alias("n_without"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("hit"), F.col("idx")))).cast("array<string>"), ",").alias("with_list"))
+    """Every record is audited; those in which no quantity is found have a status of their own."""
+    r = frame(spark, d, "requirements").withColumn("tok", X.unit_tokens(F.col("original_text")))
+    status = F.when(F.size("tok") == 0, "no_quantity").when(F.lower("original_text").rlike(r"\d\s*cm\b"), "with_unit").otherwise("without_unit")
+    return r.groupBy(status.alias("status")).agg(F.count("*").alias("n"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"))
 
 
 @query("t21_t23_model_text", """SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text ELSE raw END AS unfenced, CASE turn % 3 WHEN 1 THEN text ELSE raw END AS unmarked, CASE WHEN turn % 3 = 2 THEN trim(substr(raw, 6), ' ' || chr(10) || chr(9)) END AS xml
-    FROM (SELECT x.conv_id, x.turn, x.raw, trim(c.text, ' ' || chr(10) || chr(9) || chr(13)) AS text FROM {llm_text} x JOIN conversations c ON x.conv_id = c.conv_id AND x.turn = c.turn WHERE c.text IS NOT NULL AND regexp_full_match(c.text, '[^`\\n]*') AND c.text = trim(c.text))""")
-def t21(spark, d):
-    t = frame(spark, d, "SELECT x.conv_id, x.turn, x.raw FROM {llm_text} x JOIN {conversations} c ON x.conv_id = c.conv_id AND x.turn = c.turn WHERE c.text IS NOT NULL AND c.text rlike '^[^`\\\\n]*$' AND c.text = trim(c.text)")
-    return t.select("conv_id", "turn", X.strip_fence(F.col("raw")).alias("unfenced"), X.drop_language_lines(F.col("raw")).alias("unmarked"), X.xml_fragment(F.col("raw")).alias("xml"))
-
-
-@query("t24_strip_examples", "SELECT conv_id, turn, 'Task.' || chr(10) || chr(10) || 'Now solve. ' || trim(text) || chr(10) AS t FROM conversations WHERE text = trim(text) AND regexp_full_match(text, '[^\\n]*')")
-def t24(spark, d):
-    c = spark.read.parquet(f"{d}/conversations.parquet").where("text = trim(text) AND text rlike '^[^\\\\n]*$'")
-    prompt = F.concat(F.lit("Task.\n\n\nExamples:\nx -> y\n\n"), F.lit("Now solve. "), F.col("text"))
-    return c.select("conv_id", "turn", X.strip_examples(prompt, "Examples:", ("Now analyze", "Now solve.")).alias("t"))
-
-
-@query("t21_t23_model_text_whole", """SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text ELSE raw END AS unfenced, CASE turn % 3 WHEN 1 THEN text ELSE raw END AS unmarked, CASE WHEN turn % 3 = 2 THEN trim(substr(raw, 6), ' ' || chr(10) || chr(9)) END AS xml
     FROM (SELECT x.conv_id, x.turn, x.raw, trim(c.text, ' ' || chr(10) || chr(9) || chr(13)) AS text FROM {llm_text} x JOIN conversations c ON x.conv_id = c.conv_id AND x.turn = c.turn)""")
-def t21_whole(spark, d):
+def t21(spark, d):
     t = frame(spark, d, "llm_text")
     return t.select("conv_id", "turn", X.strip_fence(F.col("raw")).alias("unfenced"), X.drop_language_lines(F.col("raw")).alias("unmarked"), X.xml_fragment(F.col("raw")).alias("xml"))
 
 
-@query("t24_strip_examples_whole", "SELECT conv_id, turn, 'Task.' || chr(10) || chr(10) || 'Now solve. ' || trim(text) || chr(10) AS t FROM conversations")
-def t24_whole(spark, d):
+@query("t24_strip_examples", "SELECT conv_id, turn, 'Task.' || chr(10) || chr(10) || 'Now solve. ' || trim(text) || chr(10) AS t FROM conversations")
+def t24(spark, d):
     c = spark.read.parquet(f"{d}/conversations.parquet")
     prompt = F.concat(F.lit("Task.\n\n\nExamples:\nx -> y\n\n"), F.lit("Now solve. "), F.col("text"))
     return c.select("conv_id", "turn", X.strip_examples(prompt, "Examples:", ("Now analyze", "Now solve.")).alias("t"))
@@ -330,10 +298,20 @@ def p09(spark, d):
     return N.brief(N.last_wins(frame(spark, d, "quantities"), ["idx", "req_idx", "constraint_idx"]), 3)
 
 
-@query("j08_o03_nearest", """SELECT v.vec_id, v.label, round(list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))) / sqrt(list_sum(list_transform(v.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) * list_sum(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS cosine
-    FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE v.vec_id <> 0 ORDER BY cosine DESC, v.vec_id LIMIT 10""")
+_DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
+
+
+@query("j08_o03_nearest", f"""WITH v AS (SELECT vec_id, label, embedding, sqrt({_DOT.format('embedding', 'embedding')}) AS n FROM embeddings),
+    c AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, round({_DOT.format('v.embedding', 'q.embedding')} / (v.n * q.n), 6) AS cosine FROM v, v q WHERE q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id AND v.n > 0 AND q.n > 0),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS INT) AS place FROM c QUALIFY place <= 10),
+    pick AS (SELECT query_id, label AS picked FROM r WHERE place = 1), n AS (SELECT label, count(*) AS n_rows FROM embeddings GROUP BY label)
+    SELECT r.query_id, place, vec_id, r.label, cosine, picked, n_rows FROM r JOIN pick USING (query_id) LEFT JOIN n ON n.label = picked""")
 def j08(spark, d):
-    return N.nearest(spark.read.parquet(f"{d}/embeddings.parquet"), 0)
+    """All vectors whose id is divisible by 20 search all others: the ten nearest, the pick among them,
+    and how many rows the pick leads to."""
+    v = spark.read.parquet(f"{d}/embeddings.parquet")
+    found = N.nearest(v, F.col("vec_id") % 20 == 0)
+    return N.pick_rows(found, v.groupBy("label").agg(F.count("*").alias("n_rows")))
 
 
 # --- sampling ------------------------------------------------------------------------------------
@@ -371,6 +349,7 @@ def u06(spark, d):
 
 @query("y03_family_cover")
 def y03(spark, d):
-    """A loop over families, so SQL has no counterpart; a test holds it."""
-    r = frame(spark, d, "requirements").withColumn("family", X.unit_family(X.unit_tokens(F.col("original_text")))).select("idx", "family")
-    return P.cover_families(r.where("family = 'mechanical_physical' AND idx < 40"), r, "idx", ["percent", "time_rate", "mechanical_physical"])
+    """The stratified sample of all requirements, repaired so that each family that the table has is in
+    it. A loop over families, so SQL has no counterpart; a test holds it."""
+    r = frame(spark, d, "requirements").select("idx", F.col("template").cast("string").alias("stratum"), X.unit_family(X.unit_tokens(F.col("original_text"))).alias("family"))
+    return P.cover_families(P.stratified(r, "idx", 8), r, "idx", [name for name, _ in X.FAMILIES])
