@@ -402,6 +402,49 @@ def abox(t: DataFrame) -> DataFrame:
     return named.select("graph_id", "s", "p", "o", kind.alias("assertion")).distinct()
 
 
+def abox_index(t: DataFrame) -> DataFrame:
+    """(graph_id, individual, classes, objects, data, incoming): what the assertions say of each named
+    individual, as sorted arrays of classes, of `p o`, of `p o` with a literal and of `s p`. An
+    individual's own assertions stand in one row, so a hub of very many is one long row; joins on `abox`
+    do without."""
+    a = abox(t)
+    pair = lambda x, y: F.concat_ws(" ", x, y)
+    out = a.select("graph_id", F.col("s").alias("individual"), "assertion", F.when(F.col("assertion") == "class", F.col("o")).otherwise(pair("p", "o")).alias("x"))
+    back = a.where("assertion = 'object'").select("graph_id", F.col("o").alias("individual"), F.lit("incoming").alias("assertion"), pair("s", "p").alias("x"))
+    of = lambda kind: F.array_sort(F.collect_set(F.when(F.col("assertion") == kind, F.col("x"))))
+    return out.unionByName(back).groupBy("graph_id", "individual").agg(of("class").alias("classes"), of("object").alias("objects"), of("data").alias("data"), of("incoming").alias("incoming"))
+
+
+#: Relations of a vocabulary by predicate.
+TBOX = {
+    "sub_class": V.RDFS + "subClassOf", "sub_property": V.RDFS + "subPropertyOf", "inverse": V.OWL + "inverseOf", "domain": V.RDFS + "domain", "range": V.RDFS + "range",
+    "equivalent": V.OWL + "equivalentClass", "disjoint": V.OWL + "disjointWith",
+}
+CHARACTERISTICS = {"transitive": V.OWL + "TransitiveProperty", "symmetric": V.OWL + "SymmetricProperty"}
+
+
+def tbox(t: DataFrame) -> DataFrame:
+    """(relation, a, b) between named terms of a vocabulary's triples; equivalent classes are subclasses of
+    each other, transitive and symmetric properties stand with themselves. Class expressions (blank
+    nodes) are beyond the rules and left out."""
+    named = t.where("o_kind != 'literal'").where(~F.col("s").startswith("_:") & ~F.col("o").startswith("_:"))
+    name = F.create_map(*[F.lit(x) for k, p in TBOX.items() for x in (p, k)])
+    edges = named.where(F.col("p").isin(*TBOX.values())).select(F.element_at(name, F.col("p")).alias("relation"), F.col("s").alias("a"), F.col("o").alias("b"))
+    same = edges.where("relation = 'equivalent'")
+    both = same.select(F.lit("sub_class").alias("relation"), "a", "b").union(same.select(F.lit("sub_class"), "b", "a"))
+    kind = F.create_map(*[F.lit(x) for k, o in CHARACTERISTICS.items() for x in (o, k)])
+    own = named.where((F.col("p") == V.TYPE) & F.col("o").isin(*CHARACTERISTICS.values())).select(F.element_at(kind, F.col("o")).alias("relation"), F.col("s").alias("a"), F.col("s").alias("b"))
+    return edges.union(both).union(own).distinct()
+
+
+def inconsistencies(t: DataFrame, sub_class: DataFrame, disjoint: DataFrame) -> DataFrame:
+    """(graph_id, node, a, b): individuals whose asserted or inherited types are disjoint classes
+    (disjoint: a, b, in either direction); a graph without rows is consistent under these rules."""
+    types = checkpointed(inferred_types(t, sub_class).select("graph_id", F.col("s").alias("node"), F.col("o").alias("c")), "types")
+    pairs = disjoint.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return types.join(pairs, F.col("c") == F.col("a")).select("graph_id", "node", "a", "b").join(types.withColumnRenamed("c", "b"), ["graph_id", "node", "b"]).select("graph_id", "node", "a", "b").distinct()
+
+
 def canonical_nodes(t: DataFrame, rows: DataFrame) -> DataFrame:
     """rows (graph_id, req_idx, constraint_idx) with `node`: the first value node, by IRI, that is named
     VE_req<i>_c<j> for them, else a minted one of that name."""

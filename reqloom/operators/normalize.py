@@ -12,6 +12,15 @@ from pyspark.sql import functions as F
 from reqloom.functions import units as U
 
 
+class Chooser:
+    """Picks a kind among candidates: the only one, else the one whose name is in the text, else the
+    first. A language model can take its place; results then are whatever it says."""
+
+    def choose(self, candidates: Column, text: Column) -> Column:
+        named = F.filter(candidates, lambda c: F.lower(text).contains(F.lower(F.regexp_extract(c, "[^/#]*$", 0))))
+        return F.coalesce(F.get(named, F.lit(0)), F.get(candidates, F.lit(0)))
+
+
 def kinds_of(rows: DataFrame, kinds: DataFrame, unit: str = "unit_iri") -> DataFrame:
     """rows with kind_candidates: the kinds of the unit, in the table's order, without repeats."""
     per = kinds.groupBy("unit").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("seq", "kind"))), lambda x: x["kind"])).alias("kind_candidates"))
@@ -41,21 +50,42 @@ def fallback(rows: DataFrame, kinds: DataFrame, unit: str = "unit", preferred: C
     return out.withColumn("fallback_kind", F.get(wanted, F.lit(0))["kind"]).withColumn("fallback_units", F.array_distinct(F.transform("hits", lambda h: h["code"]))).drop("hits")
 
 
-def normalize(rows: DataFrame, units: DataFrame, kinds: DataFrame) -> DataFrame:
+def normalize(rows: DataFrame, units: DataFrame, kinds: DataFrame, strategy: str = "quantulum3", chooser: Chooser | None = None, text: str | None = None, defaults: DataFrame | None = None) -> DataFrame:
     """rows (operator, v1, v2, tol, unit, ...) with kind, best_unit, SI values and bounds; rows of units
-    that aren't known drop. The tolerance isn't scaled on this path."""
+    that aren't known drop (`unresolved` lists them).
+
+    Of several kinds of a unit the first counts, or the one that `chooser` picks by the column `text`;
+    `defaults` (unit, kind) goes before both. The strategy "pipeline" scales the tolerance to the SI unit,
+    "quantulum3" leaves it as it is.
+    """
+    if strategy not in ("pipeline", "quantulum3"):
+        raise ValueError(f"{strategy!r} needs a language model: give its choice as `chooser` to \"pipeline\"")
     rows = rows.withColumn("unit_iri", U.unit_iri(F.col("unit")))
     rows = fallback(kinds_of(rows, kinds), kinds)
     first = F.get("kind_candidates", F.lit(0))
-    rows = rows.withColumn("kind", F.coalesce(first, "fallback_kind")).withColumn("best_unit", F.when(first.isNotNull(), F.col("unit_iri")).otherwise(U.unit_iri(F.get("fallback_units", F.lit(0)))))
+    if chooser is not None:
+        first = chooser.choose(F.col("kind_candidates"), F.coalesce(F.col(text), F.lit("")) if text else F.lit(""))
+    if defaults is not None:
+        rows = rows.join(defaults.select(F.col("unit").alias("unit_iri"), F.col("kind").alias("default_kind")), "unit_iri", "left")
+        first = F.coalesce("default_kind", first)
+    rows = rows.withColumn("first", first).withColumn("kind", F.coalesce("first", "fallback_kind")).withColumn("best_unit", F.when(F.col("first").isNotNull(), F.col("unit_iri")).otherwise(U.unit_iri(F.get("fallback_units", F.lit(0)))))
     rows = rows.where("kind IS NOT NULL AND best_unit IS NOT NULL")
     dim = units.join(U.si_units(units, kinds), "unit", "left").select(F.col("unit").alias("best_unit"), "multiplier", "shift", "si_unit")
     rows = rows.join(dim, "best_unit", "left")
     has = F.col("si_unit").isNotNull()
     for v, to in (("v1", "si_v1"), ("v2", "si_v2")):
         rows = rows.withColumn(to, U.to_si(F.col(v), F.col("multiplier"), F.col("shift"), has))
-    rows = rows.withColumn("si_unit", F.coalesce("si_unit", "best_unit")).withColumn("b", U.bounds(F.col("operator"), F.col("si_v1"), F.col("si_v2"), F.col("tol")))
-    return rows.select("*", F.col("b.lower").alias("lower"), F.col("b.upper").alias("upper"), F.col("b.lower_included").alias("lower_included"), F.col("b.upper_included").alias("upper_included")).drop("b", "kind_candidates", "fallback_kind", "fallback_units", "multiplier", "shift", "unit_iri")
+    tol = U.tolerance_si(F.col("tol"), F.col("multiplier"), has) if strategy == "pipeline" else F.col("tol")
+    rows = rows.withColumn("si_unit", F.coalesce("si_unit", "best_unit")).withColumn("b", U.bounds(F.col("operator"), F.col("si_v1"), F.col("si_v2"), tol))
+    return rows.select("*", F.col("b.lower").alias("lower"), F.col("b.upper").alias("upper"), F.col("b.lower_included").alias("lower_included"), F.col("b.upper_included").alias("upper_included")).drop("b", "kind_candidates", "fallback_kind", "fallback_units", "multiplier", "shift", "unit_iri", "first", "default_kind")
+
+
+def unresolved(rows: DataFrame, normalized: DataFrame, key: tuple[str, ...] = ("idx", "req_idx", "constraint_idx", "seq")) -> DataFrame:
+    """The rows that no unit or kind was found for, with status and reason."""
+    on = [k for k in key if k in rows.columns]
+    left = rows.join(normalized.select(on), on, "left_anti")
+    reason = F.when(U.unit_iri(F.col("unit")).isNull(), "no unit").otherwise("unknown unit")
+    return left.withColumn("status", F.lit("failed")).withColumn("reason", reason)
 
 
 def last_wins(rows: DataFrame, key: list[str], seq: str = "seq") -> DataFrame:
@@ -118,12 +148,3 @@ def pick_rows(found: DataFrame, rows: DataFrame, label: str = "label") -> DataFr
     """found with `picked`, the label in the first place of its query, joined to the rows of that label."""
     pick = found.where("place = 1").select("query_id", F.col(label).alias("picked"))
     return found.join(pick, "query_id").join(rows.withColumnRenamed(label, "picked"), "picked", "left")
-
-
-class Chooser:
-    """Picks a kind among candidates: the only one, else the one whose name is in the text, else the
-    first. A language model can take its place; results then are whatever it says."""
-
-    def choose(self, candidates: Column, text: Column) -> Column:
-        named = F.filter(candidates, lambda c: F.lower(text).contains(F.lower(F.regexp_extract(c, "[^/#]*$", 0))))
-        return F.coalesce(F.get(named, F.lit(0)), F.get(candidates, F.lit(0)))

@@ -44,6 +44,14 @@ def split(df: DataFrame, taken: DataFrame, key: str) -> DataFrame:
     return df.join(taken.select(key), key, "left_anti")
 
 
+def manifest(pool: DataFrame, taken: DataFrame, key: str, size: int, length: str = "length") -> DataFrame:
+    """(stratum, n_pool, n_wanted, n_taken, shortest, longest) of a sample of `size` rows of the pool."""
+    mark = taken.select(key, F.lit(1).alias("__taken"))
+    per = pool.join(mark, key, "left").groupBy("stratum").agg(F.count("*").alias("n_pool"), F.count("__taken").alias("n_taken"), F.min(length).alias("shortest"), F.max(length).alias("longest"))
+    share = allocation(per.select("stratum", F.col("n_pool").alias("n")), size)
+    return per.join(share.select("stratum", F.col("share").alias("n_wanted")), "stratum").select("stratum", "n_pool", "n_wanted", "n_taken", "shortest", "longest")
+
+
 def cover_families(selected: DataFrame, pool: DataFrame, key: str, families: list[str], family: str = "family", stratum: str = "stratum") -> DataFrame:
     """Brings in the first pool row of each family that the sample lacks, for the last row of the most
     common family there. A loop over the list of families, of which there are a handful."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,9 +9,12 @@ from pyspark.sql import types as T
 
 def read_lines(spark: SparkSession, path: str, schema: T.StructType, limit: int | None = None) -> DataFrame:
     """A strict scan: blank lines are skipped, a bad line or one that isn't an object fails the job, a
-    missing file is an error. `limit` counts what is left of the lines."""
+    missing file is an error. `limit` takes the first of what is left of the lines, by file and place."""
     df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    return df if limit is None else df.limit(limit)
+    if limit is None:
+        return df
+    place = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
+    return df.select("*", *[c.alias(f"__{i}") for i, c in enumerate(place)]).orderBy("__0", "__1", "__2").limit(limit).drop("__0", "__1", "__2")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -47,11 +49,33 @@ def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def upsert(spark: SparkSession, new: DataFrame, path: str, key: str) -> None:
-    """Rewrites the history at path. The old rows are cut from their files by a checkpoint first."""
-    from reqloom.operators.iterate import checkpointed
-
-    old = read_optional(spark, path, new.schema)
-    overwrite(checkpointed(upserted(old, new, key)), path)
+    """Rewrites the history at path: the new one is written whole beside it and then takes its place, so a
+    crash at any moment leaves the old or the new rows, at path or beside it."""
+    beside, gone = f"{path.rstrip('/')}.new", f"{path.rstrip('/')}.old"
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not exists(spark, path):  # what a crash between the two renames has left
+        for left in (beside, gone):
+            if exists(spark, f"{left}/_SUCCESS") and not exists(spark, path):
+                fs.rename(hadoop.Path(left), hadoop.Path(path))
+    overwrite(upserted(read_optional(spark, path, new.schema), new, key), beside)
+    fs.delete(hadoop.Path(gone), True)
+    if exists(spark, path):
+        fs.rename(hadoop.Path(path), hadoop.Path(gone))
+    fs.rename(hadoop.Path(beside), hadoop.Path(path))
+    fs.delete(hadoop.Path(gone), True)
+
+
+def folders(spark: SparkSession, parent: str, prefix: str) -> list[str]:
+    """Names of the folders below parent that begin with prefix, in order; an error if there are none."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    p = hadoop.Path(parent)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [x.getPath().getName() for x in fs.listStatus(p) if x.isDirectory()] if fs.exists(p) else []
+    found = sorted(x for x in found if x.startswith(prefix))
+    if not found:
+        raise FileNotFoundError(f"no folder {prefix}* below {parent}")
+    return found
 
 
 def file_name(idx: Column, req_idx: Column, ordinal: Column) -> Column:
@@ -79,7 +103,7 @@ def merge_files(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
 def scan_checked(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(rows with file and annotator, bad files): a file that is no JSON object is listed, not fatal.
     The annotator is the name of the file's folder."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True)
     raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
     parsed = raw.withColumn("v", F.try_parse_json("text")).withColumn("ok", F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)))
     good = parsed.where("ok").select("file", F.regexp_extract("file", r"([^/]+)/[^/]+$", 1).alias("annotator"), F.from_json("text", schema).alias("x")).select("file", "annotator", "x.*")

@@ -269,7 +269,7 @@ def write(t: DataFrame, path: str) -> None:
 
 def read(spark: SparkSession, path: str, pattern: str = "*", without: str | None = None) -> DataFrame:
     """(path, text) of all files below a folder, names with `without` left out."""
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
     df = df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
     return df.where(~F.col("name").contains(without)) if without else df
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: More rows than a report shows; a larger table is an error, not a cut.
 MOST = 1000
@@ -35,3 +35,13 @@ def pretty_json(df: DataFrame) -> str:
     """A report of one row as an indented object, of more as an array."""
     rows = rows_of(df)
     return json.dumps(rows[0] if len(rows) == 1 else rows, indent=2, ensure_ascii=False, default=str)
+
+
+def save(spark: SparkSession, text: str, path: str) -> None:
+    """A report as one file, in any store that the engine writes; parent folders are made."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
