@@ -35,7 +35,7 @@ WINDOW = LENGTH - GRAM + 1
 #: Bytes of text in a task's bucket, in a batch that settles its own repeats, and hashed at once.
 BUCKET_BYTES, BATCH_BYTES, CHUNK_BYTES = 4 << 20, 12 << 20, 1 << 17
 LAST = (1 << 63) - 1
-#: h: hash; d, f: a row's id and text hash, which tell rows apart (rows equal in both are one text); p: position; a, z: from the first and
+#: h: hash; d, f: a row's id and, where ids repeat, its text's hash (rows equal in both are one text); p: position; a, z: from the first and
 #: last start to the anchor; e: end of a range.
 FIELDS = {"h": "<u8", "d": "<i8", "f": "<i8", "p": "<u4", "a": "u1", "z": "u1", "e": "<u4"}
 
@@ -44,6 +44,11 @@ def text_hash(raw: bytes) -> int:
     return xxhash.xxh3_64_intdigest(raw) - (1 << 63)
 
 
+def no_hash(raw: bytes) -> int:
+    """Where no id repeats the id alone tells the rows apart."""
+    return 0
+
+
 # --- packing ---------------------------------------------------------------------------------------
 
 
@@ -245,7 +250,7 @@ def _several(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, ...]:
     return order, head, np.diff(np.r_[head, len(hs)]), np.minimum.reduceat(ds, head) != np.maximum.reduceat(ds, head)
 
 
-def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
+def shared_anchors(docs: DataFrame, buckets: int, check_of=text_hash) -> DataFrame:
     """docs (d long, t string) -> rows (bucket of documents, 0, packed d f p a z) of the shared anchors."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +283,7 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
                     ends = np.cumsum([len(texts[k]) for k in own])
                     h, k, p, first, last = anchors(np.frombuffer(b"".join(texts[x] for x in own), np.uint8), ends, np.arange(len(own)))
                     base = np.r_[0, ends[:-1]][k]
-                    check = np.array([text_hash(texts[x]) for x in own], np.int64)
+                    check = np.array([check_of(texts[x]) for x in own], np.int64)
                     held.append((h, ids[np.array(own)][k], check[k], p - base, (p - first).astype(np.uint8), (p - last).astype(np.uint8)))
                     size += n
                 i = j
@@ -307,7 +312,7 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
 CONTEXTS = "bucket int, kind int, blob binary, contexts array<binary>, counts binary"
 
 
-def contexts(docs: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
+def contexts(docs: DataFrame, shared: DataFrame, buckets: int, check_of=text_hash) -> DataFrame:
     """Kind 0: (bucket of anchors, ids and positions d p a z, the contexts' bytes, how many positions
     each has); kind 1: (bucket of documents, ranges d f p e) that are settled."""
 
@@ -319,7 +324,7 @@ def contexts(docs: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
         for d, t in zip(texts["d"].to_pylist(), texts["t"].to_pylist(), strict=True):
             if d in wanted:
                 raw = t.encode("utf-8", "surrogatepass")
-                raws[d, text_hash(raw)] = raw
+                raws[d, check_of(raw)] = raw
         #: context -> [document, a, z, its checks, its positions]; ids ascend, so the first has the least
         seen: dict[bytes, list] = {}
         settled: list[tuple[int, int, int, int]] = []
@@ -450,7 +455,7 @@ def _slices(pick: np.ndarray, order: np.ndarray, g: np.ndarray, most: int = 200_
         i = j
 
 
-def cut(docs: DataFrame, ranges: DataFrame) -> DataFrame:
+def cut(docs: DataFrame, ranges: DataFrame, check_of=text_hash) -> DataFrame:
     """(d, n_bytes, n_removed, n_spans, kept) of every document; ranges: (bucket, packed d f p e)."""
 
     def go(texts: pa.Table, found: pa.Table) -> pa.Table:
@@ -462,7 +467,7 @@ def cut(docs: DataFrame, ranges: DataFrame) -> DataFrame:
             raw = t.encode("utf-8", "surrogatepass")
             i, j = np.searchsorted(ds, d, "left"), np.searchsorted(ds, d, "right")
             if i < j:
-                check = text_hash(raw)
+                check = check_of(raw)
                 i, j = i + np.searchsorted(fs[i:j], check, "left"), i + np.searchsorted(fs[i:j], check, "right")
             if i == j:
                 out.append((d, len(raw), 0, 0, raw))
@@ -492,12 +497,14 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", bucke
     size = held.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     buckets = partitions(spark, -(-size // bucket_bytes))
     dealt = held.select(F.pmod(F.xxhash64("d"), F.lit(buckets)).cast("int").alias("bucket"), "d", "t")
-    shared = materialize(shared_anchors(held, buckets), "anchors")
-    parts = materialize(contexts(dealt, shared, buckets), "contexts")
+    # 8 bytes an anchor that are only needed to tell texts of one id apart
+    check_of = no_hash if held.groupBy("d").count().where("count > 1").isEmpty() else text_hash
+    shared = materialize(shared_anchors(held, buckets, check_of), "anchors")
+    parts = materialize(contexts(dealt, shared, buckets, check_of), "contexts")
     discard(shared)
     sorted_ = materialize(repeats(parts, buckets), "ranges")
     ranges = parts.where("kind = 1").select("bucket", "kind", "blob").unionByName(sorted_)
-    done = cut(dealt, ranges)
+    done = cut(dealt, ranges, check_of)
     return done.select(F.when(F.col("d") != LAST, F.col("d")).alias(key), "n_bytes", "n_removed", "n_spans", "kept")
 
 
