@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, mix64, partitions, prepare, text_or_empty
+from .common import discard, materialize, mix64, partitions, prepare, text_or_empty
 from .components import connected_components
 
 #: Words in a shingle; hash functions; rows of a band (32 bands: a pair at 0.8 is missed once in 10^7).
@@ -76,8 +76,12 @@ def minima(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return least
 
 
+def packed(signature: np.ndarray) -> bytes:
+    return (signature & np.uint32(0xFFFF)).astype(">u2").tobytes()
+
+
 def hexed(signature: np.ndarray) -> str:
-    return (signature & np.uint32(0xFFFF)).astype(">u2").tobytes().hex()
+    return packed(signature).hex()
 
 
 def likeness(x: np.ndarray, y: np.ndarray) -> float:
@@ -141,8 +145,8 @@ def set_id(x: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(x.astype(np.uint32).tobytes())
 
 
-def links_of(signed: DataFrame, sets_of, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) that span the groups of near copies among signed (id, bands).
+def links_of(signed: DataFrame, sets_of, similarity: float = SIMILARITY) -> tuple[DataFrame, list[DataFrame]]:
+    """(links, tables that they are read from). Links (a, b) that span the groups of near copies among signed (id, bands).
 
     Ids that agree in a whole band are candidates. Bands of up to PAIRED ids are compared as pairs, larger
     ones in one task each, so no join grows with the square of a band; each link is verified on the exact
@@ -216,11 +220,11 @@ def links_of(signed: DataFrame, sets_of, similarity: float = SIMILARITY) -> Data
     if not large.isEmpty():
         dealt = large.join(sets, "id").select("band", "id", "set").repartition(partitions(spark), "band").sortWithinPartitions("band")
         found = found.unionByName(dealt.mapInArrow(spanned, "a binary, b binary"))
-    return found
+    return found, [met, pairs, wanted, sets]
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, permutations: int = PERMUTATIONS, band_rows: int = BAND_ROWS, lower: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(signed, names): signed (k, id), one row for each row of df, id naming the text's shingle set; names
+    """(signed, names): signed (k, id, bands), a table of one row for each row of df, id naming the text's shingle set; names
     (id, class_id), the least key of the id's group of near copies, for ids that have a link or several
     rows. All others are a class of their own key.
 
@@ -245,15 +249,20 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", similarity:
     signed = materialize(held.mapInArrow(sign, T.StructType([held.schema["k"], T.StructField("id", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])), "signed")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        keys = materialize(signed.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("k").alias("k")).select(F.col("k").alias("w")).distinct(), "keys")
+        keys = materialize(signed.select("id", "k").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("k").alias("k")).select(F.col("k").alias("w")).distinct(), "keys")
         texts = held.join(keys, F.col("k").eqNullSafe(F.col("w")), "left_semi").select("t")
         return texts.mapInArrow(again, "id binary, set binary").join(wanted, "id", "left_semi").dropDuplicates(["id"])
 
-    group = connected_components(links_of(signed, sets_of, similarity)).withColumnRenamed("node", "id")
+    links, tables = links_of(signed, sets_of, similarity)
+    group = connected_components(links).withColumnRenamed("node", "id")
+    for t in tables:
+        discard(t)
     each = signed.groupBy("id").agg(F.min("k").alias("least"), F.count("*").alias("n"))
     named = materialize(each.join(group, "id", "left").where("n > 1 OR component IS NOT NULL").select("id", F.coalesce("component", "id").alias("c"), "least"), "named")
     least = named.groupBy("c").agg(F.min("least").alias("class_id"))
-    return signed.select("k", "id"), materialize(named.join(least, "c").select("id", "class_id"), "classes")
+    names = materialize(named.join(least, "c").select("id", "class_id"), "classes")
+    discard(named)
+    return signed, names
 
 
 def groups(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, permutations: int = PERMUTATIONS, band_rows: int = BAND_ROWS, lower: bool = True) -> DataFrame:
@@ -266,7 +275,7 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: f
     """
     prepare(df.sparkSession)
     signed, names = classes(df, key, text, similarity, permutations, band_rows, lower)
-    return signed.join(names, "id", "left").select(F.col("k").alias(key), F.coalesce("class_id", "k").alias("component"))
+    return signed.select("k", "id").join(names, "id", "left").select(F.col("k").alias(key), F.coalesce("class_id", "k").alias("component"))
 
 
 def with_next(df: DataFrame, order: str = "doc_id", text: str = "text", blocks: int | None = None) -> DataFrame:
@@ -321,9 +330,18 @@ def compare_next(df: DataFrame, order: str = "doc_id", text: str = "text", permu
     A table of one row is followed by itself. Texts without shingles have equal fingerprints, so their
     likeness is 1. The shingles that a text and its edited text begin with are hashed once for both.
     """
-    schema = "o long, set_id binary, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return in_hex(compared(df, order, text, permutations))
+
+
+def in_hex(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
+
+
+def compared(df: DataFrame, order: str = "doc_id", text: str = "text", permutations: int = PERMUTATIONS) -> DataFrame:
+    """`compare_next` with digests and fingerprints as bytes, in which form they are kept and dealt."""
+    schema = "o long, set_id binary, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
     names = [x.split()[0] for x in schema.split(", ")]
-    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, (a, b) = Shingler(), family(permutations)
@@ -343,9 +361,9 @@ def compare_next(df: DataFrame, order: str = "doc_id", text: str = "text", permu
                 common = minima(h[:same], a, b)
                 sig = np.minimum(common, minima(h[same:], a, b))
                 esig = np.minimum(common, minima(g[same:], a, b))
-                digest = hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest()
+                digest = hashlib.sha256(e.encode("utf-8", "surrogatepass")).digest()
                 settle(sig, out)
-                waiting = (o, set_id(np.unique(h)), len(own), digest, hexed(sig), hexed(esig), likeness(sig, esig)), sig
+                waiting = (o, set_id(np.unique(h)), len(own), digest, packed(sig), packed(esig), likeness(sig, esig)), sig
 
             def settle(sig: np.ndarray | None, out: list) -> None:
                 nonlocal waiting
@@ -370,8 +388,10 @@ def compare_next(df: DataFrame, order: str = "doc_id", text: str = "text", permu
 
 def op2_minhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of all texts and edited texts, and each text's class of near copies (class_id): bands
-    of the signatures joined, exact Jaccard of 0.8 and over, closed to groups."""
+    of the signatures joined, exact Jaccard of 0.8 and over, closed to groups. The classes are a table
+    before the texts are dealt for their next ones, and the fingerprints one before they meet them."""
     docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    names = classes(docs)[1].withColumnRenamed("id", "set_id")
-    out = compare_next(docs).join(names, "set_id", "left")
-    return out.drop("set_id").withColumn("class_id", F.coalesce("class_id", "doc_id"))
+    signed, names = classes(docs)
+    discard(signed)
+    out = materialize(compared(docs), "compared").join(names.withColumnRenamed("id", "set_id"), "set_id", "left")
+    return in_hex(out.drop("set_id").withColumn("class_id", F.coalesce("class_id", "doc_id")))

@@ -48,7 +48,14 @@ def test_one_of_each_group(stages):
 def test_secrets_are_masked(stages):
     want = [(*r[:1], plain.masked(r[1]), *r[2:4], len(plain.masked(r[1]))) for r in rows(stages[2])]
     assert rows(stages[3]) == sorted(want, key=repr)
-    assert any(r[1] != s[1] for r, s in zip(rows(stages[2]), rows(stages[3])))
+
+
+def test_planted_secrets_are_masked(spark, small):
+    texts = ["password = hunter2x end", "AKIA" + "Q" * 18, "é token: abcdef1 and " + "0f" * 16, "clean", "ghp_" + "a" * 40, None, "password = hunter2x end"]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in P.redact_secrets(spark, df, small).collect()}
+    want = {i: (t, 0) if t is None else (plain.masked(t), len(plain.masked(t))) for i, t in enumerate(texts)}
+    assert got == want and sum("[REDACTED]" in (t or "") for t, _ in got.values()) == 5
 
 
 def test_mix_takes_whole_documents_up_to_the_targets(stages):
