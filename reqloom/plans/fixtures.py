@@ -37,14 +37,49 @@ _ORDER = f"'{REQ}o' || CAST(o_orderkey AS STRING)"
 _UNITS7 = ("M", "MilliM", "KiloGM", "PA", "KiloPA", "SEC", "WIDGET")
 
 
-def _triple(s: str, p: str, o: str, source: str, where: str = "true", kind: str = "iri") -> str:
-    return f"SELECT CAST(o_custkey % 100 AS BIGINT) AS graph_id, {s} AS s, '{p}' AS p, {o} AS o, '{kind}' AS o_kind FROM {source} WHERE {where}"
-
-
 _OL = "{orders} JOIN {lineitem} ON o_orderkey = l_orderkey"
 _UIRI = f"'{UNIT}' || {_case('l_partkey % 7', _UNITS7)}"
 _DESIGN = f"'{REQ}d' || CAST(l_orderkey AS STRING) || '_' || CAST(l_linenumber AS STRING)"
 
+#: (s, p, o, source, where, kind of o): a triple for each row of the source that passes.
+_TRIPLES = [
+    (_ORDER, TYPE, f"'{IOF}RequirementSpecification'", "{orders}", "o_orderkey % 50 <> 0"),
+    (_ORDER, IOF + "requirementSatisfiedBy", _DESIGN, _OL),
+    (_DESIGN, TYPE, f"CASE l_returnflag WHEN 'A' THEN '{IOF}DesignSpecification' ELSE '{IOF}PlanSpecification' END", _OL, "l_returnflag <> 'N'"),
+    (_DESIGN, IOF + "prescribes", f"'{REQ}p' || CAST(l_partkey AS STRING)", _OL),
+    (_DESIGN, IOF + "hasSpecifiedOutput", f"'{REQ}p' || CAST(l_partkey AS STRING)", _OL, "l_suppkey % 9 = 0"),
+    (f"'{REQ}p' || CAST(l_partkey AS STRING)", TYPE, f"CASE WHEN l_partkey % 6 = 0 THEN '{IOF}PlannedProcess' ELSE '{IOF}MaterialArtifact' END", _OL),
+    (_VALUE, TYPE, f"'{QUDT}QuantityValue'", _OL),
+    (_VALUE, TYPE, f"'{IOF}ValueExpression'", _OL, "l_linenumber <> 3"),
+    (_VALUE, QUDT + "unit", _UIRI, _OL, "l_suppkey % 20 <> 0"),
+    (_VALUE, QUDT + "minInclusive", "CAST(CAST(l_quantity AS INT) AS STRING)", _OL, "l_linenumber % 2 = 0", "literal"),
+    (_VALUE, QUDT + "numericValue", "CAST(CAST(l_quantity AS INT) AS STRING)", _OL, "l_linenumber % 3 = 0", "literal"),
+    (_VALUE, IOF + "hasSimpleExpressionValue", "'about ' || CAST(CAST(l_quantity AS INT) AS STRING)", _OL, "l_linenumber = 4", "literal"),
+    (_VALUE, IOF + "isValueExpressionOfAtAllTimes", f"'{REQ}p' || CAST(l_partkey AS STRING)", _OL, "l_partkey % 25 <> 0"),
+    (_UIRI, TYPE, f"'{QUDT}Unit'", _OL, "l_partkey % 7 <> 5"),
+    (_UIRI, QUDT + "hasQuantityKind", f"'{KIND}' || {_case('l_partkey % 7', ('Length', 'Length', 'Mass', 'Pressure', 'Pressure', 'Time', ''))}", _OL, "l_partkey % 7 <> 6"),
+    (f"'{KIND}Length'", TYPE, f"'{QUDT}QuantityKind'", "{orders}"),
+    (_ORDER, "http://www.w3.org/2000/01/rdf-schema#label", "o_orderpriority", "{orders}", "true", "literal"),
+    (_ORDER, IOF + "hasMeasuredValueAtSomeTime", _VALUE, _OL, "l_suppkey % 31 = 0"),
+]
+
+
+def _triple_sql(s: str, p: str, o: str, source: str, where: str = "true", kind: str = "iri") -> str:
+    return f"SELECT CAST(o_custkey % 100 AS BIGINT) AS graph_id, {s} AS s, '{p}' AS p, {o} AS o, '{kind}' AS o_kind FROM {source} WHERE {where}"
+
+
+def _triples_at_once() -> str:
+    """The same set for Spark: each source is read once and gives all triples of a row."""
+    out = []
+    for source in dict.fromkeys(x[3] for x in _TRIPLES):
+        rows = []
+        for s, p, o, of, where, kind in [(*x, *("true", "iri")[len(x) - 4 :]) for x in _TRIPLES]:
+            if of == source:
+                rows.append(f"IF({where}, named_struct('s', {s}, 'p', '{p}', 'o', {o}, 'o_kind', '{kind}'), NULL)")
+        out.append(f"SELECT CAST(o_custkey % 100 AS BIGINT) AS graph_id, inline(array_compact(array({', '.join(rows)}))) FROM {source}")
+    return "SELECT DISTINCT * FROM (" + " UNION ALL ".join(out) + ")"
+
+
 FIXTURES = {
     "requirements": f"""SELECT p_partkey AS idx, p_size, p_partkey % 8 AS template, {_U} AS unit, CASE WHEN p_partkey % 97 = 0 THEN ' '
         WHEN p_partkey % 11 = 0 THEN 'when the engine is on, ' || {_TEXT} ELSE {_TEXT} END AS original_text FROM {{part}}""",
@@ -67,26 +102,7 @@ FIXTURES = {
         CASE WHEN l.doc_id % 3 <> 0 THEN l.doc_id % 4 < 3 END AS object_correct,
         CASE WHEN l.doc_id % 6 <> 0 THEN l.doc_id % 5 <> 0 END AS is_true, CASE WHEN l.doc_id % 8 <> 0 THEN toxic = 0 END AS operator_correct,
         quality = 1 AS value_correct, l.doc_id % 3 = 0 AS unit_correct, l.doc_id % 4 AS n_missing FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id""",
-    "triples": " UNION ".join([
-        _triple(_ORDER, TYPE, f"'{IOF}RequirementSpecification'", "{orders}", "o_orderkey % 50 <> 0"),
-        _triple(_ORDER, IOF + "requirementSatisfiedBy", _DESIGN, _OL),
-        _triple(_DESIGN, TYPE, f"CASE l_returnflag WHEN 'A' THEN '{IOF}DesignSpecification' ELSE '{IOF}PlanSpecification' END", _OL, "l_returnflag <> 'N'"),
-        _triple(_DESIGN, IOF + "prescribes", f"'{REQ}p' || CAST(l_partkey AS STRING)", _OL),
-        _triple(_DESIGN, IOF + "hasSpecifiedOutput", f"'{REQ}p' || CAST(l_partkey AS STRING)", _OL, "l_suppkey % 9 = 0"),
-        _triple(f"'{REQ}p' || CAST(l_partkey AS STRING)", TYPE, f"CASE WHEN l_partkey % 6 = 0 THEN '{IOF}PlannedProcess' ELSE '{IOF}MaterialArtifact' END", _OL),
-        _triple(_VALUE, TYPE, f"'{QUDT}QuantityValue'", _OL),
-        _triple(_VALUE, TYPE, f"'{IOF}ValueExpression'", _OL, "l_linenumber <> 3"),
-        _triple(_VALUE, QUDT + "unit", _UIRI, _OL, "l_suppkey % 20 <> 0"),
-        _triple(_VALUE, QUDT + "minInclusive", "CAST(CAST(l_quantity AS INT) AS STRING)", _OL, "l_linenumber % 2 = 0", "literal"),
-        _triple(_VALUE, QUDT + "numericValue", "CAST(CAST(l_quantity AS INT) AS STRING)", _OL, "l_linenumber % 3 = 0", "literal"),
-        _triple(_VALUE, IOF + "hasSimpleExpressionValue", "'about ' || CAST(CAST(l_quantity AS INT) AS STRING)", _OL, "l_linenumber = 4", "literal"),
-        _triple(_VALUE, IOF + "isValueExpressionOfAtAllTimes", f"'{REQ}p' || CAST(l_partkey AS STRING)", _OL, "l_partkey % 25 <> 0"),
-        _triple(_UIRI, TYPE, f"'{QUDT}Unit'", _OL, "l_partkey % 7 <> 5"),
-        _triple(_UIRI, QUDT + "hasQuantityKind", f"'{KIND}' || {_case('l_partkey % 7', ('Length', 'Length', 'Mass', 'Pressure', 'Pressure', 'Time', ''))}", _OL, "l_partkey % 7 <> 6"),
-        _triple(f"'{KIND}Length'", TYPE, f"'{QUDT}QuantityKind'", "{orders}"),
-        _triple(_ORDER, "http://www.w3.org/2000/01/rdf-schema#label", "o_orderpriority", "{orders}", "true", "literal"),
-        _triple(_ORDER, IOF + "hasMeasuredValueAtSomeTime", _VALUE, _OL, "l_suppkey % 31 = 0"),
-    ]),
+    "triples": " UNION ".join(_triple_sql(*x) for x in _TRIPLES),
     "claims": f"""SELECT graph_id AS idx, s, p, o, CASE (length(s) + length(o)) % 3 WHEN 0 THEN true WHEN 1 THEN false END AS supported FROM {{triples}} WHERE p <> '{TYPE}'""",
     "hierarchy": """SELECT DISTINCT n_name AS child, r_name AS parent FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
         UNION SELECT r_name, 'World' FROM {region} UNION SELECT DISTINCT p_type, 'Part' FROM {part} UNION SELECT 'Part', 'Entity'
@@ -97,11 +113,15 @@ FIXTURES = {
 }
 
 
-def expand(text: str) -> str:
+#: Other words for the same rows, where Spark wants them otherwise.
+SPARK = {"triples": _triples_at_once()}
+
+
+def expand(text: str, forms: dict[str, str] = FIXTURES) -> str:
     """Fixtures in place of their names; tables stay as {table}."""
     while names := [n for n in re.findall(r"\{(\w+)\}", text) if n in FIXTURES]:
         for n in set(names):
-            text = text.replace("{" + n + "}", f"({FIXTURES[n]})")
+            text = text.replace("{" + n + "}", f"({forms[n]})")
     return text
 
 
@@ -111,6 +131,6 @@ def for_duckdb(text: str) -> str:
 
 def frame(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """A fixture, or a query over fixtures, as a DataFrame."""
-    text = expand("SELECT * FROM {" + text + "}" if text in FIXTURES else text)
+    text = expand("SELECT * FROM {" + text + "}" if text in FIXTURES else text, FIXTURES | SPARK)
     tables = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in set(re.findall(r"\{(\w+)\}", text))}
     return spark.sql(text, **tables)
