@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from reqloom.vocab import IOF, KIND, QUDT, REQ, TYPE, UNIT
 
-TABLES = tuple("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split())
 REASONS = ("HTTP response code: 502", "Could not load imported ontology x", "UnloadableImportException: y", "OWLOntologyCreationIOException", "Connection refused", "read timeout", "no quantity found")
 
 

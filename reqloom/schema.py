@@ -34,6 +34,24 @@ INPUT = struct(idx=_S, original_text=_S)
 STAGE_LOG = struct(idx=_L, source_idx=_S, status=_S, reason=_S, run_id=_S, provider=_S, model=_S, method=_S, seconds=_D, record=RECORD)
 TRIPLE = struct(graph_id=_L, s=_S, p=_S, o=_S, o_kind=_S, o_datatype=_S, o_lang=_S)
 
-OPERATORS = tuple("all_of after before between during eq ge gt has_feature le lt neq one_of type_is until uses_method".split())
-MODALITIES = tuple("shall must should may will is".split())
-EARS = tuple("ubiquitous event-driven unwanted_behaviors state-driven optional_features".split())
+# The names that records use.
+OPERATORS = (
+    "eq",
+    "neq",
+    "lt",
+    "le",
+    "gt",
+    "ge",
+    "between",
+    "one_of",
+    "all_of",
+    "has_feature",
+    "type_is",
+    "uses_method",
+    "before",
+    "after",
+    "during",
+    "until",
+)
+MODALITIES = ("shall", "must", "should", "may", "will", "is")
+EARS = ("ubiquitous", "event-driven", "unwanted_behaviors", "state-driven", "optional_features")
