@@ -1,4 +1,4 @@
-"""WARC Merkle fixity audit, in DataFrame functions.
+"""WARC Merkle fixity audit, in DataFrame functions; files are read by Arrow.
 
 A WARC file is a row of records at ascending offsets. A record's digest is the SHA-256 of its bytes;
 the leaf of an offset range is the SHA-256 of its records' `offset:length:digest` lines, an inner node
@@ -12,7 +12,12 @@ offsets come from sums over runs of records.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, prepare, read
@@ -53,6 +58,34 @@ def layout(pages: DataFrame, keep: tuple[str, ...] = (), file_records: int = FIL
     return out.select("page_id", *keep, "file_id", "length", "digest", (F.col("base") + F.col("within")).alias("at"))
 
 
+def records_in(raw: bytes) -> Iterator[tuple[int, int, str]]:
+    """(offset, length, digest) of a file's records. What can't be read as a record is one, to the file's
+    end, so that an audit finds it."""
+    at = 0
+    while at < len(raw):
+        head = raw.find(b"\r\n\r\n", at)
+        size = re.search(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$", raw[at:head]) if head >= 0 and raw.startswith(b"WARC/", at) else None
+        end = min(len(raw), head + 4 + int(size[1]) + 4) if size else len(raw)
+        yield at, end - at, hashlib.sha256(raw[at:end]).hexdigest()
+        at = end
+
+
+def read_files(spark: SparkSession, path: str, pattern: str = "*.warc") -> DataFrame:
+    """(file_id string, at, length, digest) of the plain WARC files below path, as `audit` takes them; an
+    empty file has no records. A file is in one task, which holds it (a file of the usual 1 GB, say)."""
+    files = prepare(spark).read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                rows = [(name, *r) for r in records_in(raw.as_py() or b"")]
+                if rows:
+                    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["file_id", "at", "length", "digest"])
+
+    return files.select(F.regexp_extract("path", r"[^/]*$", 0).alias("file_id"), "content").mapInArrow(go, "file_id string, at long, length long, digest string")
+
+
 def heights(a: DataFrame, b: DataFrame, range_bytes: int = RANGE, fanout: int = FANOUT, least: int = LEVELS) -> DataFrame:
     """(file_id, ha, hb, h): the levels above the leaves that each replica's file wants, and the greater.
 

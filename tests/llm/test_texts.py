@@ -313,3 +313,31 @@ def test_warc_layout_awkward(spark):
     assert {r["file_id"] for r in got} == {-1, 0, 1} and warc.layout(df.limit(0)).count() == 0
     many = warc.layout(df, file_records=1).collect()
     assert sum(r["file_id"] < 0 for r in many) == 3 and min(r["file_id"] for r in many) < -1
+
+
+def test_warc_files_of_two_replicas(spark, tmp_path):
+    """Bytes on disk: a changed byte, a lost tail and a file that one replica lacks are located."""
+    def record(i, body):
+        return f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:{i}>\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+    files = {"a.warc": [record(i, b"x" * (i * 37 % 900)) for i in range(60)], "b.warc": [record(i, b"y" * 50) for i in range(9)], "c.warc": [record(0, b"")]}
+    for side in "pq":
+        (tmp_path / side).mkdir()
+        for name, parts in files.items():
+            (tmp_path / side / name).write_bytes(b"".join(parts))
+    (tmp_path / "p" / "empty.warc").write_bytes(b"")
+    a, b = (warc.read_files(spark, str(tmp_path / side)) for side in "pq")
+    assert sorted((r["file_id"], r["at"], r["length"]) for r in a.collect()) == sorted((n, sum(map(len, parts[:i])), len(parts[i])) for n, parts in files.items() for i in range(len(parts)))
+    assert warc.audit(a, b)[1].count() == 0
+    start = [sum(map(len, files["a.warc"][:i])) for i in range(61)]
+    raw = bytearray(b"".join(files["a.warc"]))
+    raw[start[31] - 6] ^= 1
+    (tmp_path / "q" / "a.warc").write_bytes(bytes(raw))
+    (tmp_path / "q" / "b.warc").write_bytes(b"".join(files["b.warc"][:7]))
+    (tmp_path / "q" / "c.warc").unlink()
+    tail = [sum(map(len, files["b.warc"][:i])) for i in (7, 8)]
+    want = {("a.warc", start[30], "corrupt"), ("b.warc", tail[0], "missing"), ("b.warc", tail[1], "missing"), ("c.warc", 0, "missing")}
+    roots, faults = warc.audit(a, warc.read_files(spark, str(tmp_path / "q")), range_bytes=1000, fanout=2)
+    assert {tuple(r) for r in faults.collect()} == want
+    assert {r["file_id"]: r["root"] == r["replica_root"] for r in roots.collect()} == {"a.warc": False, "b.warc": False, "c.warc": False}
+    assert [x[:2] for x in warc.records_in(files["b.warc"][0] + b"broken")] == [(0, len(files["b.warc"][0])), (len(files["b.warc"][0]), 6)]
