@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqloom.llm import bpe, minhash, mixing, secrets, toxicity
+from reqloom.llm import bpe, mixing, secrets, simhash, toxicity
 from reqloom.llm.common import materialize, partitions, prepare
 
 
@@ -26,10 +26,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, Jaccard 0.8 at least) the document of the least
-    id stays. At 0.8 SimHash fingerprints differ in about 10 of 64 bits, too many for an index of
-    segments, so bands of MinHash find the candidates."""
+    id stays. At 0.8 about 10 of 64 bits of a SimHash fingerprint differ, so the stage has wider
+    fingerprints and an index of more segments than op6's query, and settles what it links on the exact
+    sets of shingles."""
     keyed = docs.withColumn("__key", _row_key(docs))
-    kept = materialize(minhash.groups(keyed, "__key").select(F.col("component").alias("__key")).distinct(), "kept")
+    kept = materialize(simhash.near_groups(keyed, "__key").select(F.col("component").alias("__key")).distinct(), "kept")
     return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(docs.columns)
 
 

@@ -5,10 +5,15 @@ shingles. Fingerprints that differ in at most `distance` bits are linked. With s
 distance / 2, one segment differs in at most one bit; so each segment is indexed once with every single
 bit as a wildcard, and two linked fingerprints share a variant. Variants are dealt by equality; within
 one, links are verified by the Hamming distance and only a spanning forest leaves the task.
+
+`groups` links by that distance. `near_groups` links by the exact Jaccard index of the shingle sets: at
+0.8 about 10 of 64 bits differ, so its fingerprints are wider, its segments shorter and more, and only the
+bits of the closest votes are wildcards; what the fingerprints link is settled on the exact sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, partitions, prepare
+from .common import discard, materialize, mix64, partitions, prepare
 from .components import connected_components
+from .minhash import Shingler, set_id, span
 
 WORDS, DISTANCE, SEED = 4, 4, 42
 #: Rows of one variant that a task compares at once; larger variants are split once more.
@@ -190,6 +196,215 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", distance: int
     return rows.join(named.select("fp", "group").join(names, "group").drop("group"), "fp").select(F.col("k").alias(key), "fp", "component")
 
 
+#: For `near_groups`: words of a shingle, least Jaccard index, and the share of links at that index that no
+#: segment may find. BIT is how often a bit differs at 0.8 in the worst case, one of five shingles less.
+NEAR_WORDS, SIMILARITY, MISSED, BIT = 5, 0.8, 1e-4, 0.1875
+#: Bits that two fingerprints are compared by (unrelated ones come within `reach` of it once in 10^11), at
+#: however many segments.
+WIDTH = 256
+#: Segments that are indexed at once; bounds the shuffle. Fingerprints of one variant that a task compares
+#: as a square.
+ROUND, SQUARE = 8, 512
+
+
+def index_size(n: int) -> tuple[int, int, int]:
+    """(bits of a segment, wildcards in it, segments) for n fingerprints: a variant holds about 128 unrelated
+    ones at most, and segments are added until a link at 0.8 is found but for MISSED."""
+    bits = max(8, math.ceil(math.log2(max(n, 1))) - 7)
+    match = (1 - BIT) ** bits + bits * BIT * (1 - BIT) ** (bits - 1)  # at most one bit differs
+    return bits, (bits + 1) // 2, math.ceil(math.log(MISSED) / math.log(1 - 0.86 * match))  # 0.86: and is a wildcard on both sides
+
+
+def reach(width: int = WIDTH) -> int:
+    """Bits of `width` in which a linked pair may differ: the worst case's mean and 4.2 deviations."""
+    return math.floor(BIT * width + 4.2 * math.sqrt(BIT * (1 - BIT) * width))
+
+
+def wide(shingles: np.ndarray, bits: int, wildcards: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint, wildcards) of a set of shingle hashes, as packed bits. A bit is 1 if over half of the
+    shingles set it; the wildcards of a segment are its bits of the closest votes."""
+    words = -(-max(WIDTH, bits * parts) // 64)
+    salt = mix64(np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(SEED))
+    counts = np.zeros(64 * words, np.int64)
+    for i in range(0, len(shingles), 255):  # as many votes as a byte can count
+        h = mix64((shingles[i : i + 255, None] + salt) * np.uint64(0xD6E8FEB86659FD93))
+        counts += np.unpackbits(h.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    margin = np.abs(2 * counts[: bits * parts] - len(shingles)).reshape(parts, bits)
+    mask = np.zeros((parts, bits), bool)
+    np.put_along_axis(mask, np.argsort(margin, axis=1, kind="stable")[:, :wildcards], True, axis=1)
+    return np.packbits(2 * counts > len(shingles)), np.packbits(mask.reshape(-1))
+
+
+def variants(fp: np.ndarray, mask: np.ndarray, bits: int, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of every variant of the segments first to last of the rows of fp and mask (packed bits)."""
+    cut = lambda x: np.unpackbits(x, axis=1)[:, first * bits : last * bits].reshape(len(x), -1, bits)
+    on = cut(fp).astype(np.int64) << np.arange(bits)
+    row, part, at = np.nonzero(cut(mask))
+    rest = on.sum(axis=2)[row, part] - on[row, part, at]
+    return row, ((part + first) * bits + at << 44) | rest
+
+
+def near_pairs(fp: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """Links (positions) within the distance among the rows of fp (words): all pairs of a small or scattered
+    lot, else such that span its groups. `forest` for fingerprints of several words."""
+    n = len(fp)
+    if n <= SQUARE:
+        far = np.zeros((n, n), np.int32)
+        for w in fp.T:
+            far += np.bitwise_count(w[:, None] ^ w)
+        a, b = np.nonzero(np.triu(far <= distance, 1))
+        if len(a) <= 2 * n:
+            return list(zip(a.tolist(), b.tolist(), strict=True))
+    left, links = np.arange(n), []
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            i = queue.pop()
+            near = np.bitwise_count(fp[left] ^ fp[i]).sum(axis=1, dtype=np.int32) <= distance
+            if near.any():
+                hit = left[near].tolist()
+                links += [(i, j) for j in hit]
+                queue += hit
+                left = left[~near]
+    return links
+
+
+def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, words: int = NEAR_WORDS, lower: bool = True) -> DataFrame:
+    """(key, component): for each row the least key of its group of near copies, texts whose shingle sets
+    have a Jaccard index of `similarity` (0.8 at least) and over, closed to groups.
+
+    Texts are compared in lower case unless `lower` is false. Each different set has one fingerprint;
+    those that share a variant and differ in at most `reach` bits form rough groups, and each rough group is
+    settled by its exact sets in one task. Texts of equal sets (those without words among them) are one. A
+    row of a null key never names its group, unless no other key is there. Repeated rows stay.
+    """
+    if similarity < SIMILARITY:
+        raise ValueError(f"the index is made for a similarity of {SIMILARITY} and over")
+    spark = prepare(df.sparkSession)
+    held = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    bits, wildcards, parts = index_size(held.count())
+    distance = reach(WIDTH)
+    shingled = lambda s, t: np.unique(s.shingles(s.words((t or "").lower() if lower else t or "")))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = Shingler(words)
+        for x in batches:
+            ids, fps, masks = [], [], []
+            for t in x.column(1).to_pylist():
+                g = shingled(s, t)
+                fp, mask = wide(g, bits, wildcards, parts) if len(g) else (None, None)
+                ids.append(set_id(g))
+                fps.append(fp if fp is None else fp.tobytes())
+                masks.append(mask if mask is None else mask.tobytes())
+            yield pa.RecordBatch.from_arrays([x.column(0), *[pa.array(c, pa.binary()) for c in (ids, fps, masks)]], ["k", "id", "fp", "mask"])
+
+    binary = [T.StructField(c, T.BinaryType()) for c in ("id", "fp", "mask")]
+    signed = materialize(held.mapInArrow(sign, T.StructType([held.schema["k"], *binary])), "signed")
+    each = signed.groupBy("id").agg(F.min("k").alias("least"), F.count("*").alias("rows"), F.min("fp").alias("fp"), F.min("mask").alias("mask"))
+    each = materialize(each.withColumn("n", F.monotonically_increasing_id()), "sets")
+    names = [f"w{i}" for i in range(WIDTH // 64)]
+
+    def deal(first: int):
+        last = min(first + ROUND, parts)
+
+        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x in batches:
+                fp = np.frombuffer(b"".join(x.column(1).to_pylist()), np.uint8).reshape(len(x), -1)
+                mask = np.frombuffer(b"".join(x.column(2).to_pylist()), np.uint8).reshape(len(x), -1)
+                row, at = variants(fp, mask, bits, first, last)
+                w = fp.view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(x.column(0).to_numpy()[row]), *[pa.array(w[row, i]) for i in range(len(names))]], ["key", "n", *names])
+
+        return go
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(x: np.ndarray) -> pa.RecordBatch:
+            out = []
+            start = np.flatnonzero(np.r_[True, x[1:, 0] != x[:-1, 0]])
+            for i, j in zip(start.tolist(), [*start[1:].tolist(), len(x)], strict=True):
+                got = near_pairs(x[i:j, 2:].view(np.uint64), distance) if j - i > 1 else []
+                if got:
+                    out.append(x[i:j, 1][np.array(got)])
+            pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0) if out else np.zeros((0, 2), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+        waiting, size = [], 0  # rows whose last variant may go on; joined once they are many
+        for b in batches:
+            x = np.stack([c.to_numpy() for c in b.columns], axis=1)
+            if not len(x):
+                continue
+            waiting.append(x)
+            size += len(x)
+            if size >= 16384 and waiting[0][0, 0] != x[-1, 0]:
+                x = np.concatenate(waiting)
+                cut = int(np.searchsorted(x[:, 0], x[-1, 0]))
+                yield found(x[:cut])
+                waiting, size = [x[cut:].copy()], len(x) - cut
+        if waiting:
+            yield found(np.concatenate(waiting))
+
+    schema = "key long, n long, " + ", ".join(f"{w} long" for w in names)
+    links = []
+    for first in range(0, parts, ROUND):
+        # a small table turns into one of many times its rows
+        keyed = each.where("fp IS NOT NULL").select("n", "fp", "mask").repartition(partitions(spark)).mapInArrow(deal(first), schema)
+        dealt = keyed.repartition(partitions(spark), "key").sortWithinPartitions("key")
+        links.append(materialize(dealt.mapInArrow(meet, "a long, b long"), "near"))
+    every = links[0]
+    for x in links[1:]:
+        every = every.unionByName(x)
+    rough = connected_components(every)
+    for x in links:
+        discard(x)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = Shingler(words)
+        for x in batches:
+            sets = [shingled(s, t) for t in x.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(map(set_id, sets), pa.binary()), pa.array([g.astype(np.uint32).tobytes() for g in sets], pa.binary())], ["id", "set"])
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(n, group): the least n of those that exact links reach, for each rough group."""
+        group, ns, sets = None, [], []
+
+        def settled() -> pa.RecordBatch:
+            up = list(range(len(ns)))
+
+            def root(i: int) -> int:
+                while up[i] != i:
+                    up[i] = up[up[i]]
+                    i = up[i]
+                return i
+
+            for i, j in span(sets, similarity) if len(sets) > 1 else []:
+                i, j = root(i), root(j)
+                up[max(i, j)] = min(i, j)
+            return pa.RecordBatch.from_arrays([pa.array(ns, pa.int64()), pa.array([ns[root(i)] for i in range(len(ns))], pa.int64())], ["n", "group"])
+
+        for x in batches:
+            for c, n, g in zip(*[y.to_pylist() for y in x.columns], strict=True):
+                if c != group:
+                    yield settled()
+                    group, ns, sets = c, [], []
+                ns.append(n)
+                sets.append(np.frombuffer(g, np.uint32))
+        yield settled()
+
+    # sets are made again for what is in a rough group, so none are kept for all
+    members = materialize(each.join(rough.withColumnRenamed("node", "n"), "n").select("id", "n", "component", "least"), "members")
+    keys = members.select(F.col("least").alias("w")).distinct()
+    texts = held.join(keys, F.col("k").eqNullSafe(F.col("w")), "left_semi").select("t")
+    sets = texts.mapInArrow(again, "id binary, set binary").join(members.select("id", "n", "component"), "id").dropDuplicates(["n"])
+    dealt = sets.select("component", "n", "set").repartition(partitions(spark), "component").sortWithinPartitions("component")
+    exact = dealt.mapInArrow(settle, "n long, group long")
+    named = materialize(each.join(exact, "n", "left").select("id", "least", F.coalesce("group", "n").alias("group")), "named")
+    least = named.groupBy("group").agg(F.min("least").alias("component"))
+    for x in (each, members):
+        discard(x)
+    out = signed.select("k", "id").join(named.join(least, "group").select("id", "component"), "id")
+    return out.select(F.col("k").alias(key), "component")
+
+
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
     docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
     return groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import plain
 from reqloom.llm import components, embeddings, minhash, simhash
 from llm_checks import groups_of
 
@@ -72,6 +73,49 @@ def test_simhash_links_of_planted_neighbours(spark, group):
     assert groups_of(len(fps), [(at[a], at[b]) for a, b in got]) == groups_of(len(fps), true)
 
 
+def test_simhash_near_groups(spark, words):
+    """Against all pairs: short and long texts, chains, a family of many, equal sets, no words, null keys."""
+    r, texts = random.Random(4), []
+    for size, copies in ((9, 1), (9, 1), (12, 2), (40, 3), (300, 4), (900, 2), (150, 40), (2000, 1)) * 3:
+        base = words(size, 10**6).split()
+        texts.append(" ".join(base))
+        for i in range(copies):
+            base = texts[-1].split() if i % 2 else list(base)
+            for _ in range(0 if size < 10 else r.randrange(1 + size // 45)):
+                base[r.randrange(size)] = f"e{r.randrange(10**6)}"
+            texts.append(" ".join(base[: size - (i == 0 and size < 15)]))
+    texts += [texts[0].upper(), "", None, " \n", "one two", "one  TWO", "one two three"]
+    df = spark.createDataFrame([(i, t, 0, "w") for i, t in enumerate(texts)] + [(None, texts[5], 0, "w"), (None, "lone", 0, "w")], "doc_id long, text string, n int, id string")
+    got = {(x["doc_id"], x["component"]) for x in simhash.near_groups(df).collect()}
+    least = plain.least_of_groups(texts)
+    assert got == {*enumerate(least), (None, least[5]), (None, None)}
+    assert simhash.near_groups(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [1000, 230_000])
+@pytest.mark.parametrize("sizes", [(4, 1, 0), (9, 1, 1), (80, 20, 0), (90, 10, 10), (900, 110, 110)])
+def test_simhash_index_finds_links(n, sizes):
+    """Pairs of Jaccard 0.8 share a variant and lie within reach; unrelated ones lie outside."""
+    bits, wildcards, parts = simhash.index_size(n)
+    r, reach, before = np.random.Generator(np.random.PCG64(7)), None, None
+    for _ in range(200):
+        both, left, right = (r.integers(0, 1 << 32, k, dtype=np.uint64) for k in sizes)
+        signs = [simhash.wide(np.r_[both, x], bits, wildcards, parts) for x in (left, right)]
+        keys = [set(simhash.variants(f[None], m[None], bits, 0, parts)[1].tolist()) for f, m in signs]
+        assert len(keys[0]) == wildcards * parts and keys[0] & keys[1]
+        fps = [f.view(np.uint64)[: simhash.WIDTH // 64] for f, _ in signs]
+        reach = simhash.reach()
+        assert np.bitwise_count(fps[0] ^ fps[1]).sum() <= reach
+        assert before is None or np.bitwise_count(before ^ fps[0]).sum() > reach
+        before = fps[0]
+
+
+def test_simhash_index_grows_with_the_table():
+    for n in (1000, 10**6, 10**9):
+        bits, wildcards, parts = simhash.index_size(n)
+        assert n / 2 ** (bits - 1) <= 256 and parts * wildcards <= 2.5 * n**0.4 + 100 and bits <= 44
+
+
 def test_minhash_compares_with_the_next(docs, awkward, nothing):
     for df in (docs, awkward.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])):
         rows = sorted(((r["doc_id"], r["text"] or "") for r in df.select("doc_id", "text").collect()))

@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
-from reqloom.llm import toxicity
+from reqloom.llm import simhash, toxicity
 from reqloom.llm.common import materialize
 
 
@@ -153,3 +153,13 @@ def test_edited_copies_go(spark, small, words):
     df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     want = sorted(set(plain.least_of_groups(texts)))
     assert sorted(x["doc_id"] for x in P.drop_near_copies(spark, df, small).collect()) == want
+
+
+def test_near_copies_come_from_the_simhash_index(spark, small, words, monkeypatch):
+    """An index that can't bring edited copies together leaves them: the stage has no other way to them."""
+    base = words(60, 5000).split()
+    texts = [" ".join(base), " ".join([*base[:-1], "other"]), " ".join(base)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [x["doc_id"] for x in P.drop_near_copies(spark, df, small).collect()] == [0]
+    monkeypatch.setattr(simhash, "reach", lambda width: 0)
+    assert sorted(x["doc_id"] for x in P.drop_near_copies(spark, df, small).collect()) == [0, 1]
