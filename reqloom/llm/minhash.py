@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,6 +64,10 @@ class Shingler:
             x = x * m + h[i : len(h) - n + 1 + i]
         return mix64(x) >> np.uint64(32)
 
+    def set_of(self, text: str | None, lower: bool = False) -> np.ndarray:
+        """The text's different shingles, sorted."""
+        return np.unique(self.shingles(self.words((text or "").lower() if lower else text or "")))
+
 
 def minima(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Least hash for each function, as uint32; all ones for no shingle."""
@@ -140,6 +144,13 @@ def bands_of(m: np.ndarray, band_rows: int = BAND_ROWS) -> list[int]:
     return [xxhash.xxh64_intdigest(m[i : i + band_rows].tobytes(), i) - (1 << 63) for i in range(0, len(m), band_rows)]
 
 
+def packed_bands(fingerprint: Column, set_id_: Column, permutations: int = PERMUTATIONS, band_rows: int = BAND_ROWS) -> Column:
+    """Bands of a packed fingerprint. They have the low half of each minimum, so texts that agree in a band
+    of whole minima agree here; the exact sets judge the few that meet by chance. None for the empty set."""
+    cut = [F.xxhash64(F.lit(i), F.substring(fingerprint, 2 * i + 1, 2 * band_rows)) for i in range(0, permutations, band_rows)]
+    return F.when(set_id_ == F.lit(set_id(np.zeros(0, np.uint64))), F.array().cast("array<bigint>")).otherwise(F.array(*cut))
+
+
 def set_id(x: np.ndarray) -> bytes:
     """Names a set of shingles (sorted, unique)."""
     return xxhash.xxh3_128_digest(x.astype(np.uint32).tobytes())
@@ -225,29 +236,31 @@ def links_of(signed: DataFrame, sets_of, similarity: float = SIMILARITY) -> tupl
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, permutations: int = PERMUTATIONS, band_rows: int = BAND_ROWS, lower: bool = False) -> tuple[DataFrame, DataFrame]:
     """(signed, names): signed (k, id, bands), a table of one row for each row of df, id naming the text's shingle set; names
-    (id, class_id), the least key of the id's group of near copies, for ids that have a link or several
-    rows. All others are a class of their own key.
-
-    The exact sets are made again for the texts that meet in a band, so none are kept for all.
+    as `named_classes` has them. The exact sets are made again for the texts that meet in a band, so none are kept for all.
     """
     held = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    shingled = lambda s, t: np.unique(s.shingles(s.words((t or "").lower() if lower else t or "")))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, (a, b) = Shingler(), family(permutations)
         for x in batches:
-            sets = [shingled(s, t) for t in x.column(1).to_pylist()]
+            sets = [s.set_of(t, lower) for t in x.column(1).to_pylist()]
             bands = [bands_of(minima(g, a, b), band_rows) if len(g) else [] for g in sets]
             yield pa.RecordBatch.from_arrays([x.column(0), pa.array(map(set_id, sets), pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["k", "id", "bands"])
 
+    signed = materialize(held.mapInArrow(sign, T.StructType([held.schema["k"], T.StructField("id", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])), "signed")
+    return signed, named_classes(held, signed, similarity, lower)
+
+
+def named_classes(held: DataFrame, signed: DataFrame, similarity: float = SIMILARITY, lower: bool = False) -> DataFrame:
+    """(id, class_id), the least key of the id's group of near copies, for ids that have a link or several
+    rows; all others are a class of their own key. held: (k, t); signed: (k, id, bands)."""
+
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Shingler()
         for x in batches:
-            sets = [shingled(s, t) for t in x.column(0).to_pylist()]
+            sets = [s.set_of(t, lower) for t in x.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(map(set_id, sets), pa.binary()), pa.array([g.astype(np.uint32).tobytes() for g in sets], pa.binary())], ["id", "set"])
 
-    signed = materialize(held.mapInArrow(sign, T.StructType([held.schema["k"], T.StructField("id", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])), "signed")
-
     def sets_of(wanted: DataFrame) -> DataFrame:
         keys = materialize(signed.select("id", "k").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("k").alias("k")).select(F.col("k").alias("w")).distinct(), "keys")
         texts = held.join(keys, F.col("k").eqNullSafe(F.col("w")), "left_semi").select("t")
@@ -262,7 +275,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", similarity:
     least = named.groupBy("c").agg(F.min("least").alias("class_id"))
     names = materialize(named.join(least, "c").select("id", "class_id"), "classes")
     discard(named)
-    return signed, names
+    return names
 
 
 def groups(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, permutations: int = PERMUTATIONS, band_rows: int = BAND_ROWS, lower: bool = True) -> DataFrame:
@@ -388,10 +401,16 @@ def compared(df: DataFrame, order: str = "doc_id", text: str = "text", permutati
 
 def op2_minhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of all texts and edited texts, and each text's class of near copies (class_id): bands
-    of the signatures joined, exact Jaccard of 0.8 and over, closed to groups. The classes are a table
-    before the texts are dealt for their next ones, and the fingerprints one before they meet them."""
+    of the signatures joined, exact Jaccard of 0.8 and over, closed to groups. Each text is hashed once:
+    the fingerprints are a table, and the bands are cut from it."""
     docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    signed, names = classes(docs)
-    discard(signed)
-    out = materialize(compared(docs), "compared").join(names.withColumnRenamed("id", "set_id"), "set_id", "left")
+    out = materialize(compared(docs), "compared")
+    names = compared_classes(docs, out)
+    out = out.join(names.withColumnRenamed("id", "set_id"), "set_id", "left")
     return in_hex(out.drop("set_id").withColumn("class_id", F.coalesce("class_id", "doc_id")))
+
+
+def compared_classes(df: DataFrame, out: DataFrame, order: str = "doc_id", text: str = "text") -> DataFrame:
+    """`named_classes` of df from its table of `compared`."""
+    signed = out.select(F.col(order).alias("k"), F.col("set_id").alias("id"), packed_bands(F.col("fingerprint"), F.col("set_id")).alias("bands"))
+    return named_classes(df.select(F.col(order).alias("k"), F.col(text).alias("t")), signed)

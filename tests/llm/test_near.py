@@ -171,6 +171,25 @@ def test_minhash_near_duplicates(spark, words):
     assert len(got) == len(family) > minhash.PAIRED and {r["component"] for r in got} == {0}
 
 
+def test_op2_hashes_each_text_once(spark, small, docs, awkward, nothing, monkeypatch):
+    """Classes are cut from the fingerprints' table, without a second pass of signatures, and are those of all pairs."""
+    whole = {repr((r["k"], r["class_id"])) for r in (lambda signed, names: signed.join(names, "id"))(*minhash.classes(awkward)).collect()}
+    out = minhash.compared(awkward)
+    names = minhash.compared_classes(awkward, out)
+    assert {repr((r["doc_id"], r["class_id"])) for r in out.join(names, out["set_id"] == names["id"]).collect()} == whole and whole
+    assert minhash.compared_classes(nothing, minhash.compared(nothing)).count() == 0
+
+    def again(*args, **more):
+        raise AssertionError("signed again")
+
+    monkeypatch.setattr(minhash, "classes", again)
+    texts = sorted((r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect())
+    sh = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.split()) else {None} for _, t in texts]
+    pairs = [(i, j) for i in range(len(sh)) for j in range(i) if len(sh[i] & sh[j]) >= 0.8 * len(sh[i] | sh[j])]
+    got = {r["doc_id"]: r["class_id"] for r in minhash.op2_minhash(spark, small).collect()}
+    assert pairs and [got[k] for k, _ in texts] == [texts[g][0] for g in groups_of(len(texts), pairs)]
+
+
 def test_components_of_long_chains(spark):
     r = random.Random(2)
     names = r.sample(range(10_000), 900)
