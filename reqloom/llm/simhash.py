@@ -244,28 +244,55 @@ def variants(fp: np.ndarray, mask: np.ndarray, bits: int, first: int, last: int)
     return row, ((part + first) * bits + at << 44) | rest
 
 
-def near_pairs(fp: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links (positions) within the distance among the rows of fp (words): all pairs of a small or scattered
-    lot, else such that span its groups. `forest` for fingerprints of several words."""
-    n = len(fp)
+def rounds(parts: int) -> list[tuple[int, int]]:
+    """(first, last) of the segments that are indexed at once: one segment, then ROUND at most."""
+    n = math.ceil((parts - 1) / ROUND)
+    cut = [0, *(1 + (parts - 1) * i // n for i in range(n)), parts] if n else [0, parts]
+    return list(zip(cut, cut[1:], strict=False))
+
+
+def near_pairs(fp: np.ndarray, distance: int, label: np.ndarray) -> list[tuple[int, int]]:
+    """Links (positions) within the distance among the rows of fp (words), one fewer than labels at most:
+    with the rows of one label taken as linked they span the groups of all such pairs. `forest` for
+    fingerprints of several words, some of them in one group beforehand."""
+    n, links = len(fp), []
+    names, label = np.unique(label, return_inverse=True)
+    if len(names) == 1:
+        return links
     if n <= SQUARE:
         far = np.zeros((n, n), np.int32)
         for w in fp.T:
             far += np.bitwise_count(w[:, None] ^ w)
-        a, b = np.nonzero(np.triu(far <= distance, 1))
+        a, b = np.nonzero(np.triu((far <= distance) & (label[:, None] != label), 1))
         if len(a) <= 2 * n:
-            return list(zip(a.tolist(), b.tolist(), strict=True))
-    left, links = np.arange(n), []
+            up = list(range(len(names)))
+
+            def root(i: int) -> int:
+                while up[i] != i:
+                    up[i] = up[up[i]]
+                    i = up[i]
+                return i
+
+            for i, j in zip(a.tolist(), b.tolist(), strict=True):
+                x, y = root(label[i]), root(label[j])
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    links.append((i, j))
+            return links
+    left = np.arange(n)
     while len(left):
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            i = queue.pop()
-            near = np.bitwise_count(fp[left] ^ fp[i]).sum(axis=1, dtype=np.int32) <= distance
-            if near.any():
-                hit = left[near].tolist()
-                links += [(i, j) for j in hit]
-                queue += hit
-                left = left[~near]
+        same = label[left] == label[left[0]]
+        queue, left = left[same].tolist(), left[~same]
+        for i in queue:  # grows as it goes
+            if not len(left):
+                break
+            near = left[np.bitwise_count(fp[left] ^ fp[i]).sum(axis=1, dtype=np.int32) <= distance]
+            if len(near):
+                hit, first = np.unique(label[near], return_index=True)
+                links += [(i, j) for j in near[first].tolist()]
+                same = np.isin(label[left], hit)
+                queue += left[same].tolist()
+                left = left[~same]
     return links
 
 
@@ -275,7 +302,8 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", similari
 
     Texts are compared in lower case unless `lower` is false. Each different set has one fingerprint;
     those that share a variant and differ in at most `reach` bits form rough groups, and each rough group is
-    settled by its exact sets in one task. Texts of equal sets (those without words among them) are one. A
+    settled by its exact sets in one task. Rough groups grow by a few segments at a time, and what is in one
+    already is not linked again. Texts of equal sets (those without words among them) are one. A
     row of a null key never names its group, unless no other key is there. Repeated rows stay.
     """
     if similarity < SIMILARITY:
@@ -304,16 +332,15 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", similari
     each = materialize(each.withColumn("n", F.monotonically_increasing_id()), "sets")
     names = [f"w{i}" for i in range(WIDTH // 64)]
 
-    def deal(first: int):
-        last = min(first + ROUND, parts)
-
+    def deal(first: int, last: int):
         def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in batches:
-                fp = np.frombuffer(b"".join(x.column(1).to_pylist()), np.uint8).reshape(len(x), -1)
-                mask = np.frombuffer(b"".join(x.column(2).to_pylist()), np.uint8).reshape(len(x), -1)
+                fp = np.frombuffer(b"".join(x.column(2).to_pylist()), np.uint8).reshape(len(x), -1)
+                mask = np.frombuffer(b"".join(x.column(3).to_pylist()), np.uint8).reshape(len(x), -1)
                 row, at = variants(fp, mask, bits, first, last)
                 w = fp.view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(x.column(0).to_numpy()[row]), *[pa.array(w[row, i]) for i in range(len(names))]], ["key", "n", *names])
+                held = [pa.array(x.column(c).to_numpy()[row]) for c in range(2)]
+                yield pa.RecordBatch.from_arrays([pa.array(at), *held, *[pa.array(w[row, i]) for i in range(len(names))]], ["key", "n", "label", *names])
 
         return go
 
@@ -322,7 +349,7 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", similari
             out = []
             start = np.flatnonzero(np.r_[True, x[1:, 0] != x[:-1, 0]])
             for i, j in zip(start.tolist(), [*start[1:].tolist(), len(x)], strict=True):
-                got = near_pairs(x[i:j, 2:].view(np.uint64), distance) if j - i > 1 else []
+                got = near_pairs(x[i:j, 3:].view(np.uint64), distance, x[i:j, 2]) if j - i > 1 else []
                 if got:
                     out.append(x[i:j, 1][np.array(got)])
             pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0) if out else np.zeros((0, 2), np.int64)
@@ -343,19 +370,21 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", similari
         if waiting:
             yield found(np.concatenate(waiting))
 
-    schema = "key long, n long, " + ", ".join(f"{w} long" for w in names)
-    links = []
-    for first in range(0, parts, ROUND):
+    schema = "key long, n long, label long, " + ", ".join(f"{w} long" for w in names)
+    rough = materialize(each.select(F.col("n").alias("node"), F.col("n").alias("component")).limit(0), "rough")
+    for first, last in rounds(parts):
+        # what earlier segments have grouped is not linked again: each variant would span a large group anew
+        labelled = each.where("fp IS NOT NULL").join(rough.withColumnRenamed("node", "n"), "n", "left")
+        labelled = labelled.select("n", F.coalesce("component", "n").alias("label"), "fp", "mask")
         # a small table turns into one of many times its rows
-        keyed = each.where("fp IS NOT NULL").select("n", "fp", "mask").repartition(partitions(spark)).mapInArrow(deal(first), schema)
-        dealt = keyed.repartition(partitions(spark), "key").sortWithinPartitions("key")
-        links.append(materialize(dealt.mapInArrow(meet, "a long, b long"), "near"))
-    every = links[0]
-    for x in links[1:]:
-        every = every.unionByName(x)
-    rough = connected_components(every)
-    for x in links:
-        discard(x)
+        keyed = labelled.repartition(partitions(spark)).mapInArrow(deal(first, last), schema)
+        dealt = keyed.repartition(partitions(spark), "key").sortWithinPartitions("key", "n")
+        near = materialize(dealt.mapInArrow(meet, "a long, b long"), "near")
+        if not near.isEmpty():
+            before, both = rough, near.unionByName(rough.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            rough = materialize(connected_components(both), "rough")
+            discard(before)
+        discard(near)
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Shingler(words)

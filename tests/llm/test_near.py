@@ -92,6 +92,46 @@ def test_simhash_near_groups(spark, words):
     assert simhash.near_groups(df.limit(0)).count() == 0
 
 
+def test_simhash_near_groups_link_a_family_once(spark, words, monkeypatch):
+    """Links of a large group follow its rows and the first segment's wildcards, not all variants."""
+    r, texts, seen = random.Random(6), [], []
+    base = words(120, 10**6).split()
+    for _ in range(600):
+        edited = list(base)
+        for _ in range(r.randrange(1, 4)):
+            edited[r.randrange(120)] = f"e{r.randrange(10**7)}"
+        texts.append(" ".join(edited))
+    real = simhash.connected_components
+    monkeypatch.setattr(simhash, "connected_components", lambda links: (seen.append(links.count()), real(links))[1])
+    got = {(x["doc_id"], x["component"]) for x in simhash.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {*enumerate(plain.least_of_groups(texts))}
+    _, wildcards, parts = simhash.index_size(len(texts))
+    assert sum(seen) <= (wildcards + 4) * len(texts) < wildcards * parts * len(texts) / 4
+
+
+@pytest.mark.parametrize("n", [2, 60, 500, 700])
+@pytest.mark.parametrize("labels", [1, 5, 10**6])
+@pytest.mark.parametrize("flips", [6, 60])
+def test_simhash_near_pairs_span_what_labels_leave(n, labels, flips):
+    r = np.random.Generator(np.random.PCG64(n + flips))
+    bits = np.repeat(r.integers(0, 2, (max(1, n // 100), 256), dtype=np.uint8), 100, axis=0)[:n]
+    bits = np.resize(bits, (n, 256)) ^ (r.random((n, 256)) < flips / 256)
+    fp = np.packbits(bits.astype(np.uint8), axis=1).view(np.uint64)
+    label = r.integers(0, labels, n) * 7
+    got = simhash.near_pairs(fp, 73, label)
+    far = np.bitwise_count(fp[:, None] ^ fp).sum(axis=2, dtype=np.int32)
+    alike = [(i, j) for v in np.unique(label) for i, j in zip(np.flatnonzero(label == v)[:-1].tolist(), np.flatnonzero(label == v)[1:].tolist(), strict=True)]
+    assert all(far[a, b] <= 73 and label[a] != label[b] for a, b in got) and len(got) < len(np.unique(label))
+    assert groups_of(n, got + alike) == groups_of(n, [*alike, *zip(*(x.tolist() for x in np.nonzero(far <= 73)), strict=True)])
+
+
+def test_simhash_rounds_cover_all_segments():
+    for parts in (1, 2, 9, 10, 18, 24, 70):
+        cut = simhash.rounds(parts)
+        assert cut[0] == (0, 1) and [x for a, b in cut for x in range(a, b)] == list(range(parts))
+        assert all(0 < b - a <= simhash.ROUND for a, b in cut)
+
+
 @pytest.mark.parametrize("n", [1000, 230_000])
 @pytest.mark.parametrize("sizes", [(4, 1, 0), (9, 1, 1), (80, 20, 0), (90, 10, 10), (900, 110, 110)])
 def test_simhash_index_finds_links(n, sizes):
