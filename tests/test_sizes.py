@@ -56,4 +56,23 @@ def test_f01_enrich_lets_the_rest_pass(spark, small):
 def rest_passes(df):
     """Whether the first branch of the last union reaches its source without a grouping, and the end too."""
     head, tail = plan(df).split("Union", 1)
-    return "Aggregate" not in head and "Aggregate" not in re.split(r"\n[:+]- (?=\w)", tail)[1]
\ No newline at end of file
+    return "Aggregate" not in head and "Aggregate" not in re.split(r"\n[:+]- (?=\w)", tail)[1]
+
+
+@pytest.mark.parametrize("step", ["fix_design", "with_inverses", "inferred_domains", "inferred_properties", "fix_outputs", "chain"])
+def test_f02_f05_f06_updates_let_the_rest_pass(spark, step):
+    from reqloom.operators import graph as G
+
+    t = triples(spark, [(1, "d", V.TYPE, V.IOF + "DesignSpecification", "iri"), (1, "d", V.IOF + "prescribes", "e", "iri"), (1, "e", V.TYPE, V.IOF + "PlannedProcess", "iri"), (1, "e", V.IOF + "hasSpecifiedOutput", "f", "iri"), (1, "d", V.IOF + "hasSpecifiedOutput", "e", "iri"), (1, "d", V.IOF + "hasSpecifiedOutput", "9", "literal"), (1, "x", "p", "_:y", "bnode"), (1, "y", "p", "3", "literal"), (None, None, "p", None, None)])
+    pairs = lambda rows, names: spark.createDataFrame(rows, names)
+    made, new, gone = {
+        "fix_design": (lambda: G.fix_design(t), {(1, "d", V.TYPE, V.IOF + "PlanSpecification", "iri")}, {(1, "d", V.TYPE, V.IOF + "DesignSpecification", "iri")}),
+        "with_inverses": (lambda: G.with_inverses(t, pairs([("p", "q"), ("q", "r")], "p string, q string")), {(1, "_:y", "q", "x", "iri"), (1, "x", "p", "_:y", "iri"), (1, "x", "r", "_:y", "iri")}, set()),
+        "inferred_domains": (lambda: G.inferred_domains(t, pairs([("p", "C")], "p string, c string"), pairs([("p", "D")], "p string, c string")), {(1, "x", V.TYPE, "C", "iri"), (1, "y", V.TYPE, "C", "iri"), (1, "_:y", V.TYPE, "D", "iri"), (None, None, V.TYPE, "C", "iri")}, set()),
+        "inferred_properties": (lambda: G.inferred_properties(t, pairs([("p", "q"), ("q", "r"), ("r", "q")], "child string, parent string")), {(g, s, q, o, k) for g, s, o, k in ((1, "x", "_:y", "bnode"), (1, "y", "3", "literal"), (None, None, None, None)) for q in "qr"}, set()),
+        "fix_outputs": (lambda: G.fix_outputs(t), set(), {(1, "d", V.IOF + "hasSpecifiedOutput", "e", "iri"), (1, "d", V.IOF + "hasSpecifiedOutput", "9", "literal")}),
+        "chain": (lambda: G.chain(t, V.IOF + "prescribes", V.IOF + "hasSpecifiedOutput", "c"), {(1, "d", "c", "f", "iri")}, set()),
+    }[step]
+    df = made()
+    assert rows(df) == sorted(map(repr, ({tuple(r) for r in t.collect()} | new) - gone))
+    assert rest_passes(df), plan(df)
\ No newline at end of file
