@@ -78,6 +78,29 @@ def test_f02_f05_f06_updates_let_the_rest_pass(spark, step):
     assert rest_passes(df), plan(df)
 
 
+def test_f07_f09_no_text_of_a_whole_graph(spark):
+    """Pieces are bounded and hold each line once; the digest is that of the whole text."""
+    from reqloom.sources import rdf
+
+    t = triples(spark, [(g, f"s{i}", "p", f'a "{i}"\\\n é', "literal") for g in (1, None) for i in range(300)] + [(1, "_:b1", "p", "x y", "iri"), (1, "s", "p", "_:b1", "bnode"), (2, "s", "p", "o", "iri")])
+    lines = rdf.to_lines(t)
+    texts = {r["graph_id"]: r["text"] for r in rdf.to_text(t).collect()}
+    import hashlib
+
+    assert {tuple(r) for r in rdf.digests(lines).collect()} == {(g, x.count("\n") + 1, hashlib.md5(x.encode()).hexdigest()) for g, x in texts.items()}
+    cut = rdf.pieces(lines, 100).collect()
+    assert max(len(r["text"]) for r in cut) < 200
+    assert sorted((repr(r["graph_id"]), x) for r in cut for x in r["text"].split("\n")) == sorted((repr(g), x) for g, text in texts.items() for x in text.split("\n"))
+
+
+@pytest.mark.parametrize("text", ["<a> <b> <c> .\n\n<a> <b> \"x\" .\n_:q <b> _:r .", "@prefix x: <u:> .\n<a> <b> <c> .", "<a> <b> \"x\\ny\" .", "@prefix x: <u:> .\nx:a <b> <c> .", "<a> <b> \"x\"@en .\n<a> <b> 1 .", "@base <http://h/> .\n<a> <b> <c> .", "# n\n<a> <b> <c>, <d> ."])
+def test_f09_plain_lines_parse_as_others_do(text):
+    """A comment sends the same text through the tokens."""
+    from reqloom.sources import rdf
+
+    assert rdf.parse_turtle(text) == rdf.parse_turtle("# a comment\n" + text)
+
+
 def test_f08_f10_parts_do_not_depend_on_the_chunks(spark):
     from reqloom.operators import graph as G
     from reqloom.operators.iterate import components
