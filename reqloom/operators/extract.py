@@ -109,6 +109,9 @@ def extract(df: DataFrame, text: str = "original_text", idx: str = "idx", rank:
 
     t = F.col("__t")
     record = F.struct(F.col(idx).cast("bigint").alias("idx"), F.lit(None).alias("source"), t.alias("original_text"), F.array(requirement(t)).alias("requirements")).cast(RECORD)
+    # texts are few bytes and much work: they are dealt to all cores, however few splits their table has
+    spark = df.sparkSession
+    df = df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
     # one-element explodes: what stands above reads the record's fields without computing it anew for each
     out = df.withColumn("__t", F.explode(F.array(F.when(~blank, best)))).withColumn("record", F.explode(F.array(F.when(~blank, record)))).drop("__t")
     return out.withColumn("status", F.when(blank, "skipped").otherwise("ok")).withColumn("reason", F.when(blank, "missing_original_text"))
