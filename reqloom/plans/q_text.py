@@ -9,6 +9,7 @@ from reqloom.functions import units as U
 from reqloom.operators import extract as E
 from reqloom.operators import normalize as N
 from reqloom.operators import sample as P
+from reqloom.operators.iterate import checkpointed
 from reqloom.plans.fixtures import frame
 from reqloom.vocab import KIND, UNIT
 
@@ -254,7 +255,8 @@ def q11(spark, d):
 @query("j07_upper_fallback", f"""SELECT r.unit, first(k.kind_code ORDER BY (k.kind_code <> 'Stress'), k.seq) AS kind, string_agg(DISTINCT k.code, ',') AS units FROM (SELECT DISTINCT unit FROM {{quantities}}) r JOIN {KINDS_SQL} k ON upper(k.code) = upper(CASE r.unit WHEN 'metre' THEN 'M' WHEN 'mm' THEN 'MilliM' WHEN 'kilogram' THEN 'KiloGM' WHEN 'second' THEN 'SEC' ELSE r.unit END) GROUP BY r.unit""")
 def j07(spark, d):
     kinds = U.unit_kinds(spark)
-    rows = N.fallback(frame(spark, d, "SELECT DISTINCT unit FROM {quantities}"), kinds, preferred=F.array(F.lit(KIND + "Stress")))
+    # a table, since the planner would else look up the code of each quantity's unit before the units are a set
+    rows = N.fallback(checkpointed(frame(spark, d, "SELECT DISTINCT unit FROM {quantities}"), "units"), kinds, preferred=F.array(F.lit(KIND + "Stress")))
     return rows.where("fallback_kind IS NOT NULL").select("unit", X.local_name(F.col("fallback_kind")).alias("kind"), F.array_join("fallback_units", ",").alias("units"))
 
 

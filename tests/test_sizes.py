@@ -128,3 +128,26 @@ def test_f08_parts_with_nulls_and_lone_nodes(spark):
     t = triples(spark, [(1, "x:a", "p", "b", "iri"), (1, "c", "p", "d", "iri"), (1, "e", "p", "1", "literal"), (1, None, "p", "b", "iri"), (1, None, "p", "z", "iri"), (1, None, "p", "2", "literal"), (1, "x:f", "p", "3", "literal"), (1, "b", "p", None, "iri"), (2, "c", "p", "d", "iri"), (2, None, "p", "4", "literal"), (None, "c", "p", "x:a", "iri")])
     got = {(r["graph_id"], r["s"], r["o"]) for r in G.connected_part(t, "x:").collect()}
     assert got == {(1, "x:a", "b"), (1, None, "b"), (1, "x:f", "3"), (1, "b", None), (2, "c", "d"), (2, None, "4"), (None, "c", "x:a")}
+
+
+def test_f12_g13_rows_are_dealt_not_triples(spark, small):
+    """Triples are grouped where their graph's rows are: nothing is dealt by what a triple consists of."""
+    from reqloom.plans import catalog
+
+    text = catalog.QUERIES["g13_instantiate"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in text and not re.search(r"hashpartitioning\([^)]*\bo_kind#", text)
+
+
+@pytest.mark.parametrize("name", ["x08_span_contract", "t08_t09_modality_condition", "t11_t17_constraints"])
+def test_f24_f27_f28_texts_are_dealt_to_all_cores(spark, small, name):
+    from reqloom.operators import extract as E
+
+    one = spark.read.parquet(f"{small}/part.parquet").selectExpr("p_partkey AS idx", "'a beam shall hold 3 kg' AS original_text").coalesce(1)
+    assert E.extract(one).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_f29_j07_looks_units_up_as_a_set(spark, small):
+    """The plan reads a table of units; the lines, with all work on units, are behind it."""
+    from reqloom.plans import catalog
+
+    assert "l_partkey" not in plan(catalog.QUERIES["j07_upper_fallback"](spark, small))
