@@ -151,3 +151,30 @@ def test_f29_j07_looks_units_up_as_a_set(spark, small):
     from reqloom.plans import catalog
 
     assert "l_partkey" not in plan(catalog.QUERIES["j07_upper_fallback"](spark, small))
+
+
+@pytest.mark.parametrize("name", ["g01_g04_enrich", "a23_graphs_passing", "g08_patterns", "g10_connected_part", "r03_j16_inverses"])
+def test_f05_f14_f18_no_table_of_triples_is_written(spark, small, monkeypatch, name):
+    from reqloom.operators import graph as G
+    from reqloom.operators import iterate
+    from reqloom.plans import catalog
+
+    written, real = [], iterate.checkpointed
+
+    def spy(df, *a):
+        written.append(set(df.columns))
+        return real(df, *a)
+
+    monkeypatch.setattr(G, "checkpointed", spy)
+    monkeypatch.setattr(iterate, "checkpointed", spy)
+    catalog.QUERIES[name](spark, small)
+    assert not [c for c in written if {"s", "p", "o"} <= c]
+
+
+@pytest.mark.parametrize("name", ["g14_abox", "p05_claim_rows", "a34_triple_counts", "a12_inference_delta", "g17_nodes_edges", "g15_abox_index", "u04_three_way"])
+def test_f03_f04_f19_f21_f23_f26_f30_sets_are_not_grouped_again(spark, small, name):
+    from reqloom.plans import catalog
+
+    text = plan(catalog.QUERIES[name](spark, small))
+    assert not re.search(r"Aggregate \[[^\]]*\bs#\d+, p#\d+, o#\d+\b(?!, o_kind)", text) and not re.search(r"Aggregate \[[^\]]*node#\d+, [^\]]*p#\d+", text)
+    assert "FullOuter" not in text and "Expand" not in text
